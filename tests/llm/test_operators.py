@@ -323,6 +323,13 @@ def test_url_query(spark, sf):
         assert not fits or r["verdict"] == max(fits)[2]
 
 
+def test_url_sql(spark):
+    """The tree's SQL, where hosts have enough pages for templates to be rejected."""
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op6_urls"](spark, d).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck(d, SQL["op6_urls"])))
+
+
 def test_url_tree(spark):
     rules = (urls.Rule("block", "bad.com/spam/a"), urls.Rule("allow", "bad.com/news/a"))
     word = lambda i: ("a" if i % 2 else "b") + "".join(chr(97 + int(c)) for c in str(100 + i))
@@ -521,6 +528,7 @@ def test_mix_query(spark, sf):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
     got = QUERIES["op10_mix"](spark, sf)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and got.count() == len(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(duck(sf, SQL["op10_mix"]))
 
 
 def test_mix_caps(spark):

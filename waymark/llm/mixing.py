@@ -69,10 +69,12 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple = WEIGHTS, starts:
     source's parts are summed up in order, then documents within a part, so that a source with
     a third of all rows is shared by many tasks.
     """
-    order = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("mix"))
+    # the first 60 bits of a digest, which any SQL engine computes alike
+    digest = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
+    order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), size_of(F.col("text")).alias("size"), order.alias("at"))
     # the part keeps the order: the higher bits of the order itself
-    narrow = narrow.withColumn("part", F.shiftright("at", 64 - parts.bit_length() + 1))
+    narrow = narrow.withColumn("part", F.shiftright("at", 60 - parts.bit_length() + 1))
     narrow = written(narrow, "sizes")
     sums = written(narrow.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
     sizes = sums.groupBy("source").agg(F.sum("part_size").alias("source_size"))

@@ -94,6 +94,63 @@ SQL: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    # shares up to the limits in one pass: sources by limit over weight; then running sums in the digest's order
+    "op10_mix": r"""
+        with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+                          cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':mix'), 1, 15) as bigint) as at from documents),
+        s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+        w as (select *, 3.0::double * source_size as lim, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as weight from s),
+        l as (select *, (cast(sum(source_size) over () as double) - coalesce(sum(lim) over (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+                        / sum(weight) over (order by lim / weight, source nulls last rows between current row and unbounded following) as level from w),
+        f as (select (select level from l where level * weight <= lim order by lim / weight, source nulls last limit 1) as final),
+        t as (select source, source_size, least(lim, coalesce(final * weight, lim)) as target from l, f),
+        b as (select d.doc_id, d.size, t.source_size, t.target, cast(round(t.target) as bigint) as whole,
+                     coalesce(sum(d.size) over (partition by d.source order by d.at, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0) as begins
+              from d join t on d.source is not distinct from t.source)
+        select doc_id, size, source_size, target,
+               cast(greatest(0, least(size, whole - begins)) + greatest(0, least(size, whole - begins - source_size)) + greatest(0, least(size, whole - begins - 2 * source_size)) as bigint) as taken
+        from b""",
 }
+
+
+def _urls_sql() -> str:
+    """Rules, then the template tree level by level; constants are the operator's own."""
+    rules = sorted(urls.RULES, key=lambda r: (len(r.pattern), r.verdict == "block"), reverse=True)
+    case = {
+        what: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'" for r in rules) + " end"
+        for what in ("pattern", "verdict")
+    }
+    smoothed = f"({{}} + {urls.PRIOR * urls.NEUTRAL}::double) / ({{}} + {urls.PRIOR}::double)"
+    out = [rf"""
+        with u as materialized (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        h as materialized (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+        g as materialized (select page_id, host, path, {case["pattern"]} as rule, {case["verdict"]} as told,
+            list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: struct_pack(whole := x, bare := regexp_replace(x, '\.[A-Za-z]{{1,5}}$', ''), ending := regexp_extract(x, '(\.[A-Za-z]{{1,5}})$', 1))) as parts from h),
+        k as materialized (select page_id, host, path, rule, told, list_transform(parts, lambda x: case
+            when regexp_matches(x.bare, '^[0-9]+$') then '{{n}}' || x.ending
+            when regexp_matches(x.bare, '^[0-9a-fA-F-]{{8,}}$') and regexp_matches(x.bare, '[0-9]') then '{{h}}' || x.ending
+            when length(x.bare) >= 20 or (regexp_matches(x.bare, '[0-9]') and regexp_matches(x.bare, '[A-Za-z]') and length(x.bare) >= 6) then '{{v}}' || x.ending
+            else x.whole end) as every from g),
+        p as materialized (select page_id, host, path, rule, told, case when len(every) > {urls.DEPTH} then list_append(every[1:{urls.DEPTH - 1}], '{{*}}') else every end as segs from k),
+        at0 as materialized (select host, segs, count(*) as n, count(told) as known, count(*) filter (told = 'block') as bad, '' as template, {urls.NEUTRAL}::double as share from p group by host, segs)"""]
+    for i in range(urls.DEPTH):
+        own, pooled = "bad / greatest(known, 1)::double", smoothed.format("all_bad", "all_known")
+        out.append(f"""
+        s{i} as materialized (select *, coalesce(segs[{i + 1}], '') as seg from at{i}),
+        b{i} as materialized (select host, template, seg, sum(n) as n, sum(known) as known, sum(bad) as bad from s{i} group by all),
+        n{i} as materialized (select host, template, count(*) as vals, sum(n) as pages, sum(known) as all_known, sum(bad) as all_bad from b{i} group by all),
+        r{i} as materialized (select b.*, vals, pages, {pooled} as pooled, {own} as own from b{i} b join n{i} using (host, template)),
+        c{i} as materialized (select host, template, seg, known, bad, case when seg = '' then ''
+            when vals >= {urls.VALUES} and vals * {urls.SPREAD} >= pages and not starts_with(seg, '{{') then '{{*}}'
+            when known > 0 and abs(own - pooled) <= {urls.ERRORS}::double * sqrt(greatest(pooled * (1 - pooled), 0.01::double) / greatest(known, 1)::double) then '{{~}}' else seg end as name from r{i}),
+        m{i} as materialized (select host, template, name, {smoothed.format("sum(bad)", "sum(known)")} as down from c{i} group by host, template, name),
+        at{i + 1} as materialized (select host, segs, n, s.known, s.bad, case when name = '' then template else template || '/' || name end as template, case when name = '' then share else down end as share
+            from s{i} s join (select host, template, seg, name, down from c{i} join m{i} using (host, template, name)) using (host, template, seg))""")
+    return ",".join(out) + f"""
+        select page_id, host, path, rule, coalesce(told, case when share >= {urls.REJECT}::double then 'block' else 'allow' end) as verdict
+        from p left join at{urls.DEPTH} using (host, segs)"""
+
+
+SQL["op6_urls"] = _urls_sql()
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
