@@ -49,7 +49,7 @@ def reporter_of(x) -> Reporter:
 
 
 class _Seeker:
-    """One open file: row groups (Parquet) or stripes (ORC) by cumulated row counts, columns pruned."""
+    """One open file: row groups (Parquet), stripes (ORC) or blocks (Avro) by cumulated row counts, columns pruned."""
 
     def __init__(self, uri: str, fmt: str, columns: list[str]):
         self.columns, self.fmt = columns, fmt
@@ -60,6 +60,11 @@ class _Seeker:
             self.file = pq.ParquetFile(self.handle)
             counts = [self.file.metadata.row_group(i).num_rows for i in range(self.file.num_row_groups)]
             self.group = lambda i: self.file.read_row_group(i, columns=columns)
+        elif fmt == "avro":
+            from waymark.sources.avro import AvroFile
+
+            self.file = AvroFile(self.handle, columns)
+            counts, self.group = self.file.counts, self.file.table
         else:
             import pyarrow as pa
             import pyarrow.orc as orc
@@ -135,6 +140,11 @@ def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str],
     return run
 
 
+def _seekable(fmt: str, payload: StructType) -> bool:
+    """Whether rows of the format can be sought from Python. Avro's times depend on the SerDe's reading of them."""
+    return fmt in ("parquet", "orc") or (fmt == "avro" and "timestamp" not in payload.simpleString())
+
+
 def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
     """One row for each request; columns of ``index`` without locators and payload names, then the payload.
 
@@ -146,8 +156,8 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     strategy = options.strategy
     if strategy == "auto":
         first = data.inputFiles()[:1]
-        strategy = "seek" if fmt in ("parquet", "orc") and first and arrow_reaches(first[0]) else "scan"
-    if strategy == "scan" or fmt not in ("parquet", "orc"):
+        strategy = "seek" if first and arrow_reaches(first[0]) else "scan"
+    if strategy == "scan" or not _seekable(fmt, payload):
         return _scan_join(index, kept, names, fmt, data, options)
     need = index.select(*[f"`{c}`" for c in kept], *LOCATOR)
     if options.chunks:
@@ -172,7 +182,7 @@ def read_one(spark: SparkSession, locator, payload: StructType, fmt: str, data:
     """One locator's payload as a dict, on the driver, without executors where Arrow reaches the file."""
     at = locator.asDict() if hasattr(locator, "asDict") else dict(locator)
     names = payload.fieldNames()
-    if fmt in ("parquet", "orc") and arrow_reaches(at[FILE]):
+    if _seekable(fmt, payload) and arrow_reaches(at[FILE]):
         import numpy as np
 
         seeker = _Seeker(at[FILE], fmt, names)

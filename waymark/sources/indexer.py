@@ -17,6 +17,9 @@ from waymark.spec import FILE, LOCATOR, OFFSET, SIZE, SUB_OFFSET, ReaderOptions
 #: Marks of each format in a table's provider, input format or SerDe, first match wins.
 FORMATS = (("sequence", "sequence"), ("avro", "avro"), ("parquet", "parquet"), ("orc", "orc"), ("text", "text"), ("csv", "csv"), ("json", "json"))
 
+#: Byte ranges that are sent to every executor, a path and three numbers each: some 64 MB.
+SENT_RANGES = 250_000
+
 
 def resolve_format(spark: SparkSession, table: str) -> str:
     """The storage format of a catalog table, from its description."""
@@ -32,7 +35,10 @@ def with_locators(df: DataFrame, fmt: str) -> DataFrame:
     """All of ``df``'s columns and the four locator columns. ``df`` must be a plain scan.
 
     Parquet takes the scan's own row numbers, without any shuffle. Formats whose readers number no
-    rows are numbered by file, in the order of byte ranges and of rows within them.
+    rows are numbered by file, in the order of byte ranges and of rows within them: a byte range's rows
+    stand together in one partition of the scan, so its first row's number, and the rows of the ranges
+    before it, are all that is needed. Those are a row a range, from a pass that reads no columns; rows
+    of the data aren't moved where that table's proven bound lets it be sent around.
     """
     if clash := set(df.columns) & set(LOCATOR):
         raise ValueError(f"the data has reserved column names: {sorted(clash)}")
@@ -40,8 +46,20 @@ def with_locators(df: DataFrame, fmt: str) -> DataFrame:
         m = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(OFFSET), F.col("_metadata.file_size").alias("__fs"))
         return m.select(*[f"`{c}`" for c in df.columns], normal_path(F.col(FILE)).alias(FILE), OFFSET, F.lit(0).alias(SUB_OFFSET), F.lit(-1).alias(SIZE))
     m = df.select("*", normal_path(F.input_file_name()).alias(FILE), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__id"))
-    w = Window.partitionBy(FILE).orderBy("__start", "__id")
-    return m.withColumn(OFFSET, F.row_number().over(w).cast("bigint") - 1).withColumns({SUB_OFFSET: F.lit(0), SIZE: F.lit(-1)}).drop("__start", "__id")
+    ranges = m.groupBy(FILE, "__start").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(FILE).orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(FILE, "__start", "__low", F.coalesce(before, F.lit(0)).alias("__before"))
+    if most_ranges(df) <= SENT_RANGES:
+        ranges = F.broadcast(ranges)
+    rows = m.join(ranges, [FILE, "__start"]).withColumn(OFFSET, F.col("__before") + F.col("__id") - F.col("__low"))
+    return rows.select(*[f"`{c}`" for c in df.columns], FILE, OFFSET, F.lit(0).alias(SUB_OFFSET), F.lit(-1).alias(SIZE))
+
+
+def most_ranges(df: DataFrame) -> int:
+    """At most that many byte ranges are in a plain scan: its partitions, by the ranges that fit in one."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    fit = conf.filesMaxPartitionBytes() // max(conf.filesOpenCostInBytes(), 1) + 1
+    return df._jdf.queryExecution().toRdd().getNumPartitions() * fit
 
 
 def with_row_sizes(indexed: DataFrame) -> DataFrame:
