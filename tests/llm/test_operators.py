@@ -241,6 +241,56 @@ def test_near_copies_found(spark):
     assert set(range(150)) <= kept and len(kept & copies) <= 0.02 * len(copies)
 
 
+def five_words(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_links_are_similar(spark):
+    """Dense groups with similarities on both sides of 0.8: components by exact similarity, and nothing below it is linked."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    texts = []
+    for _ in range(8):
+        words = rng.choices(vocab, k=200)
+        for e in range(25):
+            w = list(words)
+            for _ in range(e % 9):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    texts = sorted(set(texts), key=lambda t: zlib.crc32(t.encode()))
+    sets = [five_words(t) for t in texts]
+    similar = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in similar:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (0, ""), (900, None)], "doc_id bigint, text string")
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs.where("text <> ''"), simhash.SIMILAR).collect() if r["id"] is not None}
+    assert all(root[i] == root[got[i]] for i in range(len(texts)))
+    assert sum(got[i] != root[i] for i in range(len(texts))) <= 0.02 * len(texts)
+    gone = set(range(len(texts))) - {r[0] for r in simhash.keep_first(docs.where("doc_id > 0 or text <> ''")).select("doc_id").collect()}
+    best = {i for pair in similar for i in pair}
+    assert gone and gone <= best and all(root[i] != i for i in gone)
+    assert simhash.near_duplicates(docs, simhash.SIMILAR).count() == docs.count()
+
+
+def test_spanning_is_least():
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**63, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 12, (120, 4), dtype=np.uint64))
+    prints = np.unique(prints ^ (np.uint64(1) << rng.integers(0, 60, prints.shape, dtype=np.uint64)), axis=0)
+    links = simhash.spanning(prints, 256)
+    d = lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum())
+    assert len(links) == len(prints) - 1
+    root, total = list(range(len(prints))), 0
+    for w, a, b in sorted((d(a, b), a, b) for a, b in itertools.combinations(range(len(prints)), 2)):
+        if root[a] != root[b]:
+            total, old = total + w, root[b]
+            root = [root[a] if r == old else r for r in root]
+    assert sum(d(a, b) for a, b in links) == total
+    assert sorted(simhash.spanning(prints, 6)) == sorted((a, b) for a, b in links if d(a, b) <= 6)
+
+
 # -- 4 --------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 ``Plan`` fixes the shingles, the bits and the blocks. With ``m`` blocks of which a pair within
 ``distance`` bits shares at least ``m - distance``, one table for each choice of that many blocks
 finds every such pair: no link is lost. Wider fingerprints, where so many blocks can't be shared,
-take tables of two bytes each; what they find is measured in the README.
+take tables of two bytes each; what they find is measured in the README. A plan with a ``similarity``
+then checks each link on the texts' shingle sets, so that nothing below it is linked.
 
 Null and empty texts have fingerprint zero, linked like any other in :func:`near_duplicates`;
 repeated rows share a fingerprint and so a component; a null ``doc_id`` keeps its row but names no
@@ -30,7 +31,7 @@ BUCKET = 4096
 
 @dataclass(frozen=True)
 class Plan:
-    """``words`` in a shingle, ``bits`` of a fingerprint, ``distance`` in bits that links, and ``tables``.
+    """``words`` in a shingle, ``bits`` of a fingerprint, ``distance`` in bits that links, ``tables``, and the ``similarity`` that links must have.
 
     A table is a list of ``(word of 64 bits, mask)``; fingerprints that agree under all its masks meet.
     """
@@ -39,6 +40,7 @@ class Plan:
     bits: int = 64
     distance: int = 4
     tables: tuple = ()
+    similarity: float | None = None
 
 
 def exact_tables(bits: int = 64, blocks: int = 7, distance: int = 4) -> tuple:
@@ -56,8 +58,8 @@ def paired_tables(bits: int = 256, steps: tuple = (1, 5, 11)) -> tuple:
 
 #: The contract's plan: no link within 4 of 64 bits is lost.
 EXACT = Plan(4, 64, 4, exact_tables())
-#: Five-word shingles at a similarity of 0.8: 256 bits, of which such pairs differ in about 39.
-SIMILAR = Plan(5, 256, 44, paired_tables(256, (1, 5)))
+#: Five-word shingles at a similarity of 0.8: 256 bits, of which such pairs differ in about 39, give or take 6.
+SIMILAR = Plan(5, 256, 56, paired_tables(256, (1, 5)), 0.8)
 
 
 def _hashes(words: list[bytes], k: int):
@@ -153,7 +155,27 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def _groups(rows, distance: int):
+def spanning(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """The links of a least spanning forest: each row hangs on the one nearest to what is reached.
+
+    A row's nearest other is always among its links, so checks that drop some leave those that count.
+    """
+    links, far = [], np.int32(1 << 30)
+    near, via, done = np.full(len(prints), far), np.zeros(len(prints), np.int64), np.zeros(len(prints), bool)
+    x = 0
+    for _ in range(len(prints) - 1):
+        done[x] = True
+        near[x] = far
+        d = _within(prints, prints[x])
+        closer = (d < near) & ~done
+        near[closer], via[closer] = d[closer], x
+        x = int(near.argmin())
+        if near[x] <= distance:
+            links.append((int(via[x]), x))
+    return links
+
+
+def _groups(rows, distance: int, join=forest):
     """Links within runs of equal ``g`` of sorted rows ``g, n, f0, ...``; a run may cross batches."""
     import pyarrow as pa
 
@@ -176,7 +198,7 @@ def _groups(rows, distance: int):
             if len(ok):
                 yield ok, ok + d
         for i in np.nonzero(size > 8)[0]:
-            got = forest(prints[cut[i] : cut[i + 1]], distance)
+            got = join(prints[cut[i] : cut[i + 1]], distance)
             if got:
                 ab = np.array(got) + cut[i]
                 yield ab[:, 0], ab[:, 1]
@@ -220,7 +242,7 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
     large = met.where(F.col("n") > BUCKET).withColumns({"p": parts, "o": own}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     # a part meets itself in its pairs with others; g names the pair of parts
     large = large.select(F.xxhash64("t", "k", F.least("o", "j"), F.greatest("o", "j")).alias("g"), *fs)
-    kernel = partial(_groups, distance=plan.distance)
+    kernel = partial(_groups, distance=plan.distance, join=forest if plan.similarity is None else spanning)
     schema = "a binary, b binary"
     # joined rows come sorted by t and k already, yet g must be the order that the kernel sees
     a = small.sortWithinPartitions("g").mapInArrow(kernel, schema)
@@ -228,11 +250,61 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
     return a.union(b).distinct()
 
 
-def grouped(prints: DataFrame, plan: Plan) -> DataFrame:
-    """``f0, ..., first, component``: least id of each distinct fingerprint, and of its component."""
+def _set_batches(rows, plan: Plan):
+    """``node, shingles``: a text's fingerprint, and its distinct shingles as sorted 32-bit hashes."""
+    import pyarrow as pa
+
+    for b in batches(rows):
+        for a in range(0, b.num_rows, 64):
+            nodes, sets = [], []
+            for x in b.column(0).slice(a, 64).cast(pa.large_binary()):
+                raw = x.as_py() or b""
+                words = raw.lower().split()
+                nodes.append(np.array(_of_bytes(raw, plan), "<u8").tobytes())
+                sets.append(np.unique(np.concatenate([(h & np.uint64(0xFFFFFFFF)).astype("<u4") for h in _hashes(words, plan.words)])).tobytes() if words else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sorted sets of 32-bit hashes."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _check_batches(rows, least: float):
+    import pyarrow as pa
+
+    for b in batches(rows):
+        keep = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if jaccard(x.as_buffer(), y.as_buffer()) >= least]
+        if keep:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["a", "b"])
+
+
+def checked(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """The links whose texts are as similar as the plan asks for. Texts without any link aren't looked at again."""
+    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    found = written(found, "links")
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    ids = written(kinds.withColumn("node", _raw(fs)).join(nodes, "node", "left_semi").select(F.col("first").alias("__id")).distinct(), "linked")
+    texts = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(F.col(f"`{text_col}`").alias("text"))
+    # rows of one id may differ in text, so a set goes by its text's fingerprint
+    sets = written(texts.mapInArrow(partial(_set_batches, plan=plan), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    rows = found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(partial(_check_batches, least=plan.similarity), "a binary, b binary")
+
+
+def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``f0, ..., first, component``: least id of each distinct fingerprint, and of its component.
+
+    ``docs`` are the rows that ``prints`` are of; a plan with a ``similarity`` needs them.
+    """
     fs = [f"f{i}" for i in range(plan.bits // 64)]
     kinds = written(prints.groupBy(*fs).agg(F.min("id").alias("first")), "kinds")
-    found = components(links(kinds, plan))
+    found = links(kinds, plan)
+    if plan.similarity is not None:
+        found = checked(found, kinds, docs, plan, id_col, text_col)
+    found = components(found)
     raw = _raw(fs)
     marked = kinds.withColumn("node", raw).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     marked = written(marked.select(*fs, "first", "root"), "marked")
@@ -249,7 +321,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id",
     """``id, f0, ..., component``: for each row the least id reachable over links, its own included."""
     fs = [f"f{i}" for i in range(plan.bits // 64)]
     prints = written(fingerprints(docs, plan, id_col, text_col), "prints")
-    return prints.join(grouped(prints, plan).drop("first"), fs, "left")
+    return prints.join(grouped(prints, plan, docs, id_col, text_col).drop("first"), fs, "left")
 
 
 def keep_first(docs: DataFrame, plan: Plan = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +334,7 @@ def keep_first(docs: DataFrame, plan: Plan = SIMILAR, id_col: str = "doc_id", te
     empty = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     some = docs.where(~empty & F.col(f"`{id_col}`").isNotNull())
     prints = written(fingerprints(some, plan, id_col, text_col), "prints")
-    firsts = grouped(prints, plan)
+    firsts = grouped(prints, plan, some, id_col, text_col)
     later = prints.join(firsts, fs).where("id <> component").select("id")
     later = written(later.distinct(), "later")
     return docs.join(later, docs[id_col] == later["id"], "left_anti")
