@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import IndexManager, IndexSpec, KVFile, KVFolder, ReaderOptions, TableIndexer, WriterOptions, write_kv, write_partitioned_kv
+from waymark.functions.buckets import SPELT_OUT
 from waymark.operators.layout import co_partition
 from waymark.operators.reader import Reporter
 from waymark.plans.chunks import tree_height
@@ -55,6 +56,53 @@ def test_fill_and_reopen(spark, made):
         m.append_new_partitions([{"x": 1}])
 
 
+def test_files_of_index(spark, made):
+    """Each bucket of each partition is one file, in key order, written with the options asked for."""
+    import pyarrow.parquet as pq
+
+    m, _, _ = made
+    files = [f.removeprefix("file:").replace("///", "/") for f in m.get_index().inputFiles()]
+    assert len(files) == 2 * 4
+    for f in files:
+        keys = pq.read_table(f, partitioning=None).column("id_col").to_pylist()
+        assert keys == sorted(keys)
+        assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_partitions_by_the_catalog(spark):
+    """Names that need escapes, nulls and numbers; a partition of the catalog without rows isn't missing."""
+    name = f"d_{uuid.uuid4().hex[:8]}"
+    rows_ = [(i, Decimal(i) / 4 if i % 5 else None, f"a b/{i % 4}=%" if i % 3 else None) for i in range(60)]
+    spark.createDataFrame(rows_, "id int, p decimal(10,5), q string").write.partitionBy("p", "q").saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} ADD PARTITION (p = 99, q = 'none')")
+    m = IndexManager.create_new(spark, name, f"{name}_i", ["id"], num_buckets=2)
+    first = m.get_missing_partitions()
+    assert len(first) > SPELT_OUT and {(r["p"], r["q"]) for r in first} == {(r[1], r[2]) for r in rows_}
+    m.append_new_partitions(first[:20])
+    assert m.get_missing_partitions() == first[20:]
+    m.append_missing_partitions()
+    assert m.get_missing_partitions() == []
+    assert rows(m.get_index().select("id", "p", "q")) == rows(spark.table(name))
+
+
+def test_hot_key_streams(spark, monkeypatch):
+    name = f"d_{uuid.uuid4().hex[:8]}"
+    spark.range(50).select(F.lit("one").alias("k"), "id").coalesce(1).write.saveAsTable(name)
+    m = IndexManager.create_new(spark, name, f"{name}_i", ["k"], num_buckets=2)
+    m.append_missing_partitions()
+    monkeypatch.setattr("waymark.manager.AT_ONCE", 7)
+    assert [r["id"] for r in m.fetch_all("one", fields=["id"])] == list(range(50))
+    assert m.fetch("one", fields=["id"])["id"] == 0 and m.fetch("two") is None
+
+
+def test_row_sizes(spark):
+    """Every file has a size, in all partition folders."""
+    name = make(spark)
+    m = IndexManager.create_new(spark, name, f"{name}_i", ["id_col"], num_buckets=2, reader=ReaderOptions(chunks=True))
+    m.append_missing_partitions()
+    assert m.get_index().where("data_size < 1 or data_size is null").count() == 0
+
+
 def test_load(spark, made):
     m, data, _ = made
     assert rows(m.load_by_index(m.get_index())) == rows(data)

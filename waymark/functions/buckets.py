@@ -16,9 +16,25 @@ def literals(schema, key: dict) -> list[Column]:
     return [F.lit(v).cast(schema[k].dataType) for k, v in key.items()]
 
 
+#: Partition specs up to which a predicate is spelt out; more are looked up in a set.
+SPELT_OUT = 16
+
+
+def _spec_key(values: list[Column]) -> Column:
+    """One string for several values, nulls too; lengths keep it unambiguous."""
+    text = [v.cast("string") for v in values]
+    return F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in text])
+
+
 def partition_predicate(specs: list[dict]) -> Column:
-    """Any of the partition specs; none at all matches nothing. Values go in as literals, unspliced."""
+    """Any of the partition specs; none at all matches nothing. Values go in as literals, unspliced.
+
+    Many specs of the same columns are one set, as a chain of thousands of alternatives is too deep to plan.
+    """
     from functools import reduce
 
+    names = list(specs[0]) if specs else []
+    if len(specs) > SPELT_OUT and names and all(set(s) == set(names) for s in specs):
+        return _spec_key([F.col(f"`{k}`") for k in names]).isin(*[_spec_key([F.lit(s[k]) for k in names]) for s in specs])
     one = [reduce(lambda a, b: a & b, [F.col(f"`{k}`").cast("string").eqNullSafe(F.lit(v).cast("string")) for k, v in s.items()], F.lit(True)) for s in specs]
     return reduce(lambda a, b: a | b, one, F.lit(False))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -18,6 +20,12 @@ from waymark.spec import FILE, LOCATOR, LOCATOR_DDL, IndexSpec, ReaderOptions, W
 
 #: Fixed names of the table properties that make an index reopenable.
 PROP_DATA, PROP_KEYS, PROP_MORE, PROP_BUCKETS = "index.meta.dataTableName", "index.meta.keys", "index.meta.moreFields", "index.meta.buckets"
+#: Fixed value: how the catalog writes a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+#: Rows of one key that a lookup takes at once; a key with more is streamed.
+AT_ONCE = 10_000
+#: Tasks of one append at most; beyond that a task writes several files, one after another.
+MOST_TASKS = 100_000
 
 
 def _quoted(name: str) -> str:
@@ -65,6 +73,7 @@ class IndexManager:
         keys_sql = ", ".join(f"`{k}`" for k in spec.keys)
         spark.sql(
             f"CREATE TABLE {_quoted(index)} ({', '.join(cols)}) USING parquet"
+            + f" OPTIONS ('parquet.page.row.count.limit' = '{self.writer.interval}', 'compression' = '{self.writer.compression}')"
             + (f" PARTITIONED BY ({', '.join(f'`{p}`' for p in self.parts)})" if self.parts else "")
             + f" CLUSTERED BY ({keys_sql}) SORTED BY ({keys_sql}) INTO {n} BUCKETS"
             + (f" LOCATION {_sql_str(location)}" if location else "")
@@ -97,14 +106,35 @@ class IndexManager:
     # -- partitions -------------------------------------------------------------------------------
 
     def partitions(self, table: str | None = None) -> DataFrame:
-        """Partition values of a table, from the catalog where it lists them, else from the data."""
+        """Partition values that a table has rows of, from a scan that reads no other columns."""
         return self.spark.table(table or self.spec.data_table).select(*[f"`{p}`" for p in self.parts]).distinct()
 
+    def _listed(self, table: str) -> DataFrame | None:
+        """Names of partitions (``dt=1/seq=2``) in the catalog, or None where it keeps none for the table."""
+        try:
+            return self.spark.sql(f"SHOW PARTITIONS {_quoted(table)}")
+        except AnalysisException:
+            return None
+
     def get_missing_partitions(self) -> list[dict]:
-        """Partitions of the data that the index lacks; an unpartitioned table is one partition, ``{}``."""
+        """Partitions with rows in the data that the index lacks; an unpartitioned table is one partition, ``{}``.
+
+        The catalog's names tell which may be missing, so that only those are looked into; without
+        names in the catalog both tables are.
+        """
         if not self.parts:
             return [{}] if not self.get_index().take(1) else []
-        rows = missing_partitions(self.partitions(), self.partitions(self.spec.index_table), self.parts)
+        data, index = self.partitions(), self.partitions(self.spec.index_table)
+        a, b = self._listed(self.spec.data_table), self._listed(self.spec.index_table)
+        if a is not None and b is not None:
+            may = [dict(x.split("=", 1) for x in r[0].split("/")) for r in a.subtract(b).collect()]
+            if not may:
+                return []
+            kind = {p: data.schema[p].dataType for p in self.parts}
+            # values in the columns' own types: 0.42 in a name may be 0.42000 in the table
+            may = [{p: F.lit(None if s[p] == NULL_PARTITION else unquote(s[p])).try_cast(kind[p]) for p in self.parts} for s in may]
+            data, index = data.where(partition_predicate(may)), index.where(partition_predicate(may))
+        rows = missing_partitions(data, index, self.parts)
         return [r.asDict() for r in rows.orderBy(*self.parts).collect()]
 
     def append_missing_partitions(self) -> list[dict]:
@@ -125,7 +155,7 @@ class IndexManager:
         rows = self.index_rows(data)
         n = self.num_buckets
         # a task holds one bucket of one partition, so each partition gets at most one file a bucket
-        rows = rows.repartition(n * len(specs), *[F.col(f"`{p}`") for p in self.parts], bucket_of(list(self.spec.keys), n)).sortWithinPartitions(*self.parts, *self.spec.keys)
+        rows = rows.repartition(min(n * len(specs), MOST_TASKS), *[F.col(f"`{p}`") for p in self.parts], bucket_of(list(self.spec.keys), n))  # the table's own order is the writer's to sort by
         with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             rows.write.insertInto(_quoted(self.spec.index_table), overwrite=True)
 
@@ -134,7 +164,7 @@ class IndexManager:
         fields = [*self.spec.keys, *self.spec.more_fields]
         rows = TableIndexer(data, self.format, self.reader).create_index_df([*fields, *self.parts], self.writer.file_filter)
         if self.format == "parquet" and self.reader.chunks:
-            rows = with_row_sizes(rows)
+            rows = with_row_sizes(rows, data)
         return guard_decimals(rows.select(*[f"`{c}`" for c in fields], *LOCATOR, *[f"`{p}`" for p in self.parts]), self.writer.cast_decimal_to_double)
 
     # -- queries ----------------------------------------------------------------------------------
@@ -171,12 +201,20 @@ class IndexManager:
 
     def fetch(self, key, partition: dict | None = None, fields: list[str] | None = None) -> dict | None:
         """One row of the key as a dict (that of the smallest locator), or None."""
-        return next(self.fetch_all(key, partition, fields), None)
+        with settings(self.spark, LOOKUP_CONF):
+            found = self._of_key(key, partition).select(*LOCATOR).orderBy(*LOCATOR[:3]).take(1)
+        return self.read_payload(found[0], fields) if found else None
 
     def fetch_all(self, key, partition: dict | None = None, fields: list[str] | None = None) -> Iterator[dict]:
-        """All rows of the key: a lookup of its bucket alone, then driver-side reads of its row groups."""
+        """All rows of the key, in locator order: a lookup of its bucket alone, then driver-side reads of its row groups.
+
+        The driver never holds the locators of a key with more than ``AT_ONCE`` rows: they stream.
+        """
         with settings(self.spark, LOOKUP_CONF):
-            found = self._of_key(key, partition).select(*LOCATOR).orderBy(*LOCATOR[:3]).collect()
+            every = self._of_key(key, partition).select(*LOCATOR).orderBy(*LOCATOR[:3])
+            found = every.take(AT_ONCE + 1)
+            if len(found) > AT_ONCE:
+                found = every.toLocalIterator()
         for at in found:
             yield self.read_payload(at, fields)
 

@@ -155,8 +155,8 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     schema = StructType([index.schema[c] for c in kept] + list(payload))
     strategy = options.strategy
     if strategy == "auto":
-        first = data.inputFiles()[:1]
-        strategy = "seek" if first and arrow_reaches(first[0]) else "scan"
+        files = data._jdf.inputFiles()  # stays in the JVM: one name is enough
+        strategy = "seek" if len(files) and arrow_reaches(files[0]) else "scan"
     if strategy == "scan" or not _seekable(fmt, payload):
         return _scan_join(index, kept, names, fmt, data, options)
     need = index.select(*[f"`{c}`" for c in kept], *LOCATOR)

@@ -229,7 +229,8 @@ def sizing(spark, d):
 
 def row_sizes(spark, d):
     """Mean sizes in locators are positive and one for a file."""
-    df = with_row_sizes(_of(spark, d, "lineitem").create_index_df(["l_orderkey"]))
+    one = _of(spark, d, "lineitem")
+    df = with_row_sizes(one.create_index_df(["l_orderkey"]), one.data)
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(SIZE) > 0).alias("sized"), F.countDistinct(SIZE).alias("kinds"))
 
 

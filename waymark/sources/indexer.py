@@ -43,7 +43,7 @@ def with_locators(df: DataFrame, fmt: str) -> DataFrame:
     if clash := set(df.columns) & set(LOCATOR):
         raise ValueError(f"the data has reserved column names: {sorted(clash)}")
     if fmt == "parquet":
-        m = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(OFFSET), F.col("_metadata.file_size").alias("__fs"))
+        m = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(OFFSET))
         return m.select(*[f"`{c}`" for c in df.columns], normal_path(F.col(FILE)).alias(FILE), OFFSET, F.lit(0).alias(SUB_OFFSET), F.lit(-1).alias(SIZE))
     m = df.select("*", normal_path(F.input_file_name()).alias(FILE), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__id"))
     ranges = m.groupBy(FILE, "__start").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__n"))
@@ -62,20 +62,15 @@ def most_ranges(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions() * fit
 
 
-def with_row_sizes(indexed: DataFrame) -> DataFrame:
-    """``data_size`` from file sizes: mean bytes of a row, at least 1. One aggregation of a row a file."""
-    spark = indexed.sparkSession
-    per = indexed.groupBy(FILE).agg(F.count(F.lit(1)).alias("__n"))
-    files = [r[0] for r in indexed.select(FILE).distinct().limit(1).collect()]
-    if not files:
-        return indexed
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(files[0])
-    parent = p.getParent()
-    st = parent.getFileSystem(conf).listStatus(parent)
-    sizes = spark.createDataFrame([(str(s.getPath()), s.getLen()) for s in st] or [("", 0)], "f string, l long")
-    per = per.join(sizes.withColumn(FILE, normal_path(F.col("f"))), FILE, "left").select(FILE, F.greatest(F.lit(1), F.coalesce((F.col("l") / F.col("__n")).cast("int"), F.lit(1))).alias("__mean"))
-    return indexed.join(per, FILE, "left").withColumn(SIZE, F.coalesce("__mean", F.lit(-1))).drop("__mean").select(*indexed.columns)
+def with_row_sizes(indexed: DataFrame, data: DataFrame) -> DataFrame:
+    """``data_size`` of Parquet rows: their file's mean bytes of a row, at least 1. ``data`` is the scan that was indexed.
+
+    Sizes and row counts come from a scan of ``data`` that reads no columns, a row a file.
+    """
+    files = data.select(normal_path(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.file_size").alias("__fs"))
+    mean = F.greatest(F.lit(1), (F.max("__fs") / F.count(F.lit(1))).cast("int"))
+    per = files.groupBy(FILE).agg(mean.alias("__mean"))
+    return indexed.join(per, FILE, "left").withColumn(SIZE, F.coalesce("__mean", F.lit(-1))).select(*indexed.columns)
 
 
 class TableIndexer:
