@@ -275,6 +275,47 @@ def test_links_are_similar(spark):
     assert simhash.near_duplicates(docs, simhash.SIMILAR).count() == docs.count()
 
 
+def test_large_groups_near_the_limit(spark):
+    """Large groups whose similarities lie round 0.8: rows whose nearest link fails are tried against the others."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for _ in range(2):
+        words = rng.choices(vocab, k=200)
+        for _ in range(150):
+            w = list(words)
+            for at in rng.sample(range(200), 3):
+                w[at] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    assert all(root[i] == root[got[i]] for i in got)
+    print("components: exact", len(set(root)), "found", len(set(got.values())))
+    assert len(set(got.values())) <= len(set(root)) + 2
+
+
+def test_grown_tries_all_pairs():
+    rng = random.Random(12)
+    base = rng.sample(range(10**6), 100)
+    sets = [np.unique(np.array([x if rng.random() > 0.1 else rng.randrange(10**6) for x in base], "<u4")) for _ in range(80)] + [np.zeros(0, "<u4")] * 2
+    names = [bytes([i // 2 if i < 10 else i]) for i in range(len(sets))]  # ten rows are connected in twos
+    root = {x: x for x in names}
+    for (a, x), (b, y) in itertools.combinations(zip(names, sets, strict=True), 2):
+        if simhash.jaccard(x.tobytes(), y.tobytes()) >= 0.8 and root[a] != root[b]:
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    links = simhash.grown(names, [x.tobytes() for x in sets], 0.8)
+    mine = {x: x for x in names}
+    for a, b in links:
+        mine = {k: mine[a] if v == mine[b] else v for k, v in mine.items()}
+    assert all((root[a] == root[b]) == (mine[a] == mine[b]) for a in names for b in names) and len(set(root.values())) < len(root)
+
+
 def test_spanning_is_least():
     rng = np.random.default_rng(9)
     prints = rng.integers(0, 2**63, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 12, (120, 4), dtype=np.uint64))

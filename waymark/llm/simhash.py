@@ -4,7 +4,8 @@
 ``distance`` bits shares at least ``m - distance``, one table for each choice of that many blocks
 finds every such pair: no link is lost. Wider fingerprints, where so many blocks can't be shared,
 take tables of two bytes each; what they find is measured in the README. A plan with a ``similarity``
-then checks each link on the texts' shingle sets, so that nothing below it is linked.
+then checks links on the texts' shingle sets, so that nothing below it is linked, and where a link
+fails, all pairs of what it linked.
 
 Null and empty texts have fingerprint zero, linked like any other in :func:`near_duplicates`;
 repeated rows share a fingerprint and so a component; a null ``doc_id`` keeps its row but names no
@@ -27,6 +28,8 @@ from waymark.llm.common import batches, components, small_batches, written
 BLOCK = 1 << 16
 #: Fingerprints of one bucket that one kernel call compares; larger buckets are dealt out in pairs of parts.
 BUCKET = 4096
+#: Rows in a part, and bytes of their shingles, where large blocks are compared by similarity; parts grow to eight times the rows.
+PART, PART_BYTES = 256, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -158,7 +161,7 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def spanning(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """The links of a least spanning forest: each row hangs on the one nearest to what is reached.
 
-    A row's nearest other is always among its links, so checks that drop some leave those that count.
+    What a failed check takes apart is compared again in :func:`similar_components`.
     """
     links, far = [], np.int32(1 << 30)
     near, via, done = np.full(len(prints), far), np.zeros(len(prints), np.int64), np.zeros(len(prints), bool)
@@ -276,13 +279,75 @@ def _check_batches(rows, least: float):
     import pyarrow as pa
 
     for b in batches(rows):
-        keep = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if jaccard(x.as_buffer(), y.as_buffer()) >= least]
-        if keep:
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["a", "b"])
+        ok = [jaccard(x.as_buffer(), y.as_buffer()) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
-def checked(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """The links whose texts are as similar as the plan asks for. Texts without any link aren't looked at again."""
+def grown(roots: list[bytes], sets: list[bytes], least: float) -> set[tuple[bytes, bytes]]:
+    """Pairs of roots that connect all rows whose sets are ``least`` similar; rows of one root are connected already.
+
+    A row that fails against one row stays and is tried against all others that are reached, so no
+    pair is left out unless both of its rows are connected otherwise.
+    """
+    sizes = np.array([len(x) // 4 for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    kinds, ids = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+    names, label = np.unique(np.array(roots, object), return_inverse=True)
+    mark, left, out = np.zeros(len(kinds), bool), np.arange(len(sets)), set()
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            got = label[left] == label[x]
+            short, long = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
+            may = np.nonzero(~got & (short > 0) & (short / np.maximum(1, long) >= least))[0]  # no pair of other sizes can be so similar
+            if len(may):
+                y = left[may]
+                ends = np.cumsum(sizes[y])
+                own = ids[starts[x] : starts[x] + sizes[x]]
+                mark[own] = True
+                both = np.add.reduceat(mark[ids[np.arange(ends[-1]) + np.repeat(starts[y] - ends + sizes[y], sizes[y])]], ends - sizes[y], dtype=np.int64)
+                mark[own] = False
+                good = may[both / (sizes[x] + sizes[y] - both) >= least]
+                got[good] = True
+                out |= {(names[label[x]], names[k]) for k in np.unique(label[left[good]])}
+            todo += left[got].tolist()
+            left = left[~got]
+    return out
+
+
+def _grow_batches(rows, least: float):
+    """:func:`grown` over runs of equal ``g`` of sorted rows ``g, root, shingles``; a run may cross batches."""
+    import pyarrow as pa
+
+    def out(roots, sets):
+        pairs = sorted(grown(roots, sets, least)) if len(roots) > 1 else []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+    at, roots, sets = None, [], []
+    for b in batches(rows):
+        for g, root, shingles in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if g != at:
+                yield from out(roots, sets)
+                at, roots, sets = g, [], []
+            roots.append(root), sets.append(shingles)
+    yield from out(roots, sets)
+
+
+def _rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """``df`` with the root of ``column`` in its place, where it has one."""
+    r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return df.join(r, F.col(column) == F.col("__node"), "left").withColumn(column, F.coalesce("__root", column)).drop("__node", "__root")
+
+
+def similar_components(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """``node, root`` of every fingerprint in ``found``: components by links as similar as the plan asks for.
+
+    The links found are checked first. Where some fail, so that what they linked in bits is apart,
+    all rows of those parts are compared with one another by similarity alone: a link that fails
+    costs no other pair. Texts without any link aren't looked at again.
+    """
     fs = [f"f{i}" for i in range(plan.bits // 64)]
     found = written(found, "links")
     nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
@@ -291,7 +356,24 @@ def checked(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan: Plan, id_
     # rows of one id may differ in text, so a set goes by its text's fingerprint
     sets = written(texts.mapInArrow(partial(_set_batches, plan=plan), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     rows = found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(partial(_check_batches, least=plan.similarity), "a binary, b binary")
+    tested = written(rows.select("a", "b", "x", "y").mapInArrow(partial(_check_batches, least=plan.similarity), "a binary, b binary, ok boolean"), "tested")
+    roots = components(tested.where("ok").select("a", "b"))
+    apart = written(_rooted(_rooted(tested.where("not ok").select("a", "b"), "a", roots), "b", roots).where("a <> b").distinct(), "apart")
+    if apart.isEmpty():
+        return roots
+    blocks = components(apart).select(F.col("node").alias("root"), F.col("root").alias("block"))
+    members = _rooted(sets.withColumn("root", F.col("node")), "root", roots).join(blocks, "root").select("block", "root", "node", "shingles")
+    members = written(members, "members")
+    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    sizes = sizes.select("block", F.greatest(F.least(F.ceil(F.col("n") / PART), F.lit(16)), F.ceil(F.col("n") / (8 * PART)), F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("p"))
+    # large blocks are dealt out as pairs of parts; a part meets itself in its pairs with others
+    dealt = members.join(sizes, "block").withColumn("o", F.pmod(F.xxhash64("node"), "p").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).where("p = 1 or j <> o")
+    dealt = dealt.select(F.xxhash64("block", F.least("o", "j"), F.greatest("o", "j")).alias("g"), "root", "shingles")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = dealt.repartition(n, "g").sortWithinPartitions("g").mapInArrow(partial(_grow_batches, least=plan.similarity), "a binary, b binary")
+    more = components(more.distinct())
+    whole = _rooted(_rooted(sets.select("node", F.col("node").alias("root")), "root", roots), "root", more)
+    return written(whole, "similar")
 
 
 def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,9 +384,7 @@ def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col
     fs = [f"f{i}" for i in range(plan.bits // 64)]
     kinds = written(prints.groupBy(*fs).agg(F.min("id").alias("first")), "kinds")
     found = links(kinds, plan)
-    if plan.similarity is not None:
-        found = checked(found, kinds, docs, plan, id_col, text_col)
-    found = components(found)
+    found = components(found) if plan.similarity is None else similar_components(found, kinds, docs, plan, id_col, text_col)
     raw = _raw(fs)
     marked = kinds.withColumn("node", raw).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     marked = written(marked.select(*fs, "first", "root"), "marked")
