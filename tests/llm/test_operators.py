@@ -300,6 +300,20 @@ def test_large_groups_near_the_limit(spark):
     assert len(set(got.values())) <= len(set(root)) + 2
 
 
+def test_repeated_lines_are_no_copies(spark):
+    """Texts that share a line many times over, but little else, stay; texts that differ in repeats alone are copies."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = " ".join(word() for _ in range(7))
+    rows = [(i, " ".join([line] * rng.randrange(60, 100) + [word() for _ in range(60)])) for i in range(6)]
+    body = " ".join(word() for _ in range(80))
+    rows += [(10, f"{line} {line} {line} {body}"), (11, " ".join([line] * 60 + [body]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r[0] for r in simhash.keep_first(docs).select("doc_id").collect()) == [0, 1, 2, 3, 4, 5, 10]
+    a, b = (simhash.fingerprint(t, simhash.SIMILAR) for _, t in rows[-2:])
+    assert a == b and len(a) == 4
+
+
 def test_grown_tries_all_pairs():
     rng = random.Random(12)
     base = rng.sample(range(10**6), 100)

@@ -5,7 +5,8 @@
 finds every such pair: no link is lost. Wider fingerprints, where so many blocks can't be shared,
 take tables of two bytes each; what they find is measured in the README. A plan with a ``similarity``
 then checks links on the texts' shingle sets, so that nothing below it is linked, and where a link
-fails, all pairs of what it linked.
+fails, all pairs of what it linked. Its fingerprints are of distinct shingles, as its similarity is,
+and texts are one node where their sets of shingles are equal, not where their fingerprints are.
 
 Null and empty texts have fingerprint zero, linked like any other in :func:`near_duplicates`;
 repeated rows share a fingerprint and so a component; a null ``doc_id`` keeps its row but names no
@@ -86,22 +87,39 @@ def _wider(h: np.ndarray, more: int) -> np.ndarray:
     return np.stack([h, *[mixed(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) for i in range(more)]], 1)
 
 
+def _names(plan: Plan) -> list[str]:
+    """Columns that tell nodes apart: the fingerprint's words and, with a similarity, the digest of the set of shingles."""
+    return [*[f"f{i}" for i in range(plan.bits // 64)], *(["digest"] if plan.similarity is not None else [])]
+
+
 def fingerprint(text: str | None, plan: Plan = EXACT) -> list[int]:
     """The fingerprint as unsigned 64-bit words: a bit is 1 if set in over half of the shingles' hashes."""
     return _of_bytes((text or "").encode(), plan)
 
 
 def _of_bytes(raw: bytes, plan: Plan) -> list[int]:
+    return _node(raw, plan)[0][: plan.bits // 64]
+
+
+def _node(raw: bytes, plan: Plan) -> tuple[list[int], bytes]:
+    """The fingerprint; with a similarity, of distinct shingles, with the digest of their set after it, and the set itself."""
     wide = plan.bits // 64
     words = raw.lower().split()  # bytes: A-Z alone are lower-cased, and ASCII white space alone splits
     if not words:
-        return [0] * wide
-    ones, n = np.zeros(plan.bits, np.int64), 0
-    for h in _hashes(words, plan.words):
+        return [0] * len(_names(plan)), b""
+    import xxhash
+
+    ones, n, kinds, parts = np.zeros(plan.bits, np.int64), 0, b"", _hashes(words, plan.words)
+    if plan.similarity is not None:
+        distinct = np.unique(np.concatenate(list(parts)))
+        kinds = np.unique((distinct & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes()
+        parts = (distinct[a : a + BLOCK] for a in range(0, len(distinct), BLOCK))
+    for h in parts:
         n += len(h)
         h = _wider(h, wide - 1) if wide > 1 else h
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), plan.bits // 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8").tolist()
+    print_ = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8").tolist()
+    return print_ + ([xxhash.xxh64_intdigest(kinds)] if plan.similarity is not None else []), kinds
 
 
 def _print_batches(rows, plan: Plan):
@@ -109,14 +127,14 @@ def _print_batches(rows, plan: Plan):
 
     for b in batches(rows):
         data = b.column(1).cast(pa.large_binary())
-        prints = np.array([_of_bytes(x.as_py() or b"", plan) for x in data], dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(prints[:, i]) for i in range(prints.shape[1])]], names=["id", *[f"f{i}" for i in range(prints.shape[1])]])
+        prints = np.array([_node(x.as_py() or b"", plan)[0] for x in data], dtype="<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(prints[:, i]) for i in range(prints.shape[1])]], names=["id", *_names(plan)])
 
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, f0, f1, ...``: a row for each row of ``docs``, 64 bits in each signed long."""
+    """``id, f0, f1, ...``: a row for each row of ``docs``, 64 bits in each signed long; with a similarity, ``digest`` too."""
     small_batches(docs.sparkSession)
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"f{i} bigint" for i in range(plan.bits // 64))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} bigint" for x in _names(plan))
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(partial(_print_batches, plan=plan), schema)
 
 
@@ -178,8 +196,8 @@ def spanning(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def _groups(rows, distance: int, join=forest):
-    """Links within runs of equal ``g`` of sorted rows ``g, n, f0, ...``; a run may cross batches."""
+def _groups(rows, distance: int, join=forest, wide: int | None = None):
+    """Links within runs of equal ``g`` of sorted rows ``g, f0, ...``, of which ``wide`` are compared; a run may cross batches."""
     import pyarrow as pa
 
     def cols(b):
@@ -187,7 +205,7 @@ def _groups(rows, distance: int, join=forest):
 
     def links(x: np.ndarray):
         g, n = x[:, 0], len(x)
-        prints = np.ascontiguousarray(x[:, 1:]).view(np.uint64)
+        prints = np.ascontiguousarray(x[:, 1 : None if wide is None else 1 + wide]).view(np.uint64)
         cut = np.concatenate([[0], np.nonzero((x[1:, 0] != x[:-1, 0]))[0] + 1, [n]])
         size = np.diff(cut)
         small = np.repeat(size <= 8, size)
@@ -233,7 +251,7 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
     rows are dealt out as pairs of parts, each no larger than twice half a bucket, so that no task
     holds a large bucket and no link is left out.
     """
-    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    fs = _names(plan)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = prints.select(*fs, F.explode(_keys(plan)).alias("x")).select("x.t", "x.k", *fs).repartition(n, "t", "k")
     counts = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -245,7 +263,7 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
     large = met.where(F.col("n") > BUCKET).withColumns({"p": parts, "o": own}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     # a part meets itself in its pairs with others; g names the pair of parts
     large = large.select(F.xxhash64("t", "k", F.least("o", "j"), F.greatest("o", "j")).alias("g"), *fs)
-    kernel = partial(_groups, distance=plan.distance, join=forest if plan.similarity is None else spanning)
+    kernel = partial(_groups, distance=plan.distance, join=forest if plan.similarity is None else spanning, wide=plan.bits // 64)
     schema = "a binary, b binary"
     # joined rows come sorted by t and k already, yet g must be the order that the kernel sees
     a = small.sortWithinPartitions("g").mapInArrow(kernel, schema)
@@ -254,17 +272,16 @@ def links(prints: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _set_batches(rows, plan: Plan):
-    """``node, shingles``: a text's fingerprint, and its distinct shingles as sorted 32-bit hashes."""
+    """``node, shingles``: a text's node (fingerprint and digest), and its distinct shingles as sorted 32-bit hashes."""
     import pyarrow as pa
 
     for b in batches(rows):
         for a in range(0, b.num_rows, 64):
             nodes, sets = [], []
             for x in b.column(0).slice(a, 64).cast(pa.large_binary()):
-                raw = x.as_py() or b""
-                words = raw.lower().split()
-                nodes.append(np.array(_of_bytes(raw, plan), "<u8").tobytes())
-                sets.append(np.unique(np.concatenate([(h & np.uint64(0xFFFFFFFF)).astype("<u4") for h in _hashes(words, plan.words)])).tobytes() if words else b"")
+                node, kinds = _node(x.as_py() or b"", plan)
+                nodes.append(np.array(node, "<u8").tobytes())
+                sets.append(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
@@ -348,12 +365,12 @@ def similar_components(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan
     all rows of those parts are compared with one another by similarity alone: a link that fails
     costs no other pair. Texts without any link aren't looked at again.
     """
-    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    fs = _names(plan)
     found = written(found, "links")
     nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     ids = written(kinds.withColumn("node", _raw(fs)).join(nodes, "node", "left_semi").select(F.col("first").alias("__id")).distinct(), "linked")
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(F.col(f"`{text_col}`").alias("text"))
-    # rows of one id may differ in text, so a set goes by its text's fingerprint
+    # rows of one id may differ in text, so a set goes by its text's node
     sets = written(texts.mapInArrow(partial(_set_batches, plan=plan), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
     rows = found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     tested = written(rows.select("a", "b", "x", "y").mapInArrow(partial(_check_batches, least=plan.similarity), "a binary, b binary, ok boolean"), "tested")
@@ -377,11 +394,11 @@ def similar_components(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan
 
 
 def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``f0, ..., first, component``: least id of each distinct fingerprint, and of its component.
+    """``f0, ..., first, component``: least id of each distinct fingerprint (and set of shingles), and of its component.
 
     ``docs`` are the rows that ``prints`` are of; a plan with a ``similarity`` needs them.
     """
-    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    fs = _names(plan)
     kinds = written(prints.groupBy(*fs).agg(F.min("id").alias("first")), "kinds")
     found = links(kinds, plan)
     found = components(found) if plan.similarity is None else similar_components(found, kinds, docs, plan, id_col, text_col)
@@ -399,7 +416,7 @@ def _raw(fs: list[str]) -> Column:
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, f0, ..., component``: for each row the least id reachable over links, its own included."""
-    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    fs = _names(plan)
     prints = written(fingerprints(docs, plan, id_col, text_col), "prints")
     return prints.join(grouped(prints, plan, docs, id_col, text_col).drop("first"), fs, "left")
 
@@ -410,7 +427,7 @@ def keep_first(docs: DataFrame, plan: Plan = SIMILAR, id_col: str = "doc_id", te
     Rows with no words, or no id, aren't copies of one another and stay. Rows of one id stay or go
     together.
     """
-    fs = [f"f{i}" for i in range(plan.bits // 64)]
+    fs = _names(plan)
     empty = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     some = docs.where(~empty & F.col(f"`{id_col}`").isNotNull())
     prints = written(fingerprints(some, plan, id_col, text_col), "prints")
