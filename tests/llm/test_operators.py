@@ -373,6 +373,17 @@ def test_topk_edges(spark):
     assert kdtree.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_repeats(spark, tmp_path):
+    """Repeated rows, repeated queries and identifiers with several vectors, as the SQL has them."""
+    rng = random.Random(14)
+    rows = 2 * [(i, [float(rng.randrange(-4, 5)) for _ in range(3)]) for i in range(120)] + 30 * [(7, [4.0, 4.0, 4.0])] + [(50, [-4.0, 1.0, 3.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op4_topk"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(SQL["op4_topk"]).fetchall()) and len(got) == 15
+
+
 # -- 5 --------------------------------------------------------------------------------------------
 
 

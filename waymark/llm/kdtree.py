@@ -7,8 +7,8 @@ shard gives each query a kth score to begin with, which all shards then start fr
 
 Components become ``floor(256 * x)``, kept within 32 bits. Vectors that are null, empty, or hold null or
 non-finite components take no part, nor do rows without an identifier; vectors meet those of their
-own length only. Ties go to the smaller identifier; rows of one identifier are one candidate each but
-never their own. An empty table gives no rows. Other columns are ignored.
+own length only. Ties go to the smaller identifier; rows of one identifier are one candidate each, exact
+repeats too, but never their own. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,6 +184,8 @@ def _floors(queries: dict, sample: dict, k: int) -> dict:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = 2048, shards: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's best among all rows but its own, exactly.
 
+    Repeated rows take a rank each, as in the query's SQL; so do those of repeated queries.
+
     ``vectors`` and ``queries`` are ``id, v`` as :func:`quantised` gives them. Queries go around in
     blocks of ``QUERIES``, so what is broadcast is bounded; each block passes over the index once.
     """
@@ -208,4 +210,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int =
         one = searched(block)
         found = one if found is None else found.union(one)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
