@@ -462,6 +462,21 @@ def test_url_tree(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_url_depth(spark):
+    """Paths that part below any fixed level have templates of their own, below long runs in common too."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(100 + i))
+    rules = (urls.Rule("block", "deep.com/a/b/c/d/offers/a"), urls.Rule("allow", "deep.com/a/b/c/d/news/a"), urls.Rule("block", "long.com/" + "x/" * 300 + "offers/a"), urls.Rule("allow", "long.com/" + "x/" * 300 + "news/a"))
+    want = {}
+    for k, base in enumerate(("deep.com/a/b/c/d/", "long.com/" + "x/" * 300)):
+        for i in range(60):
+            for m, (kind, verdict) in enumerate((("offers", "block"), ("news", "allow"))):
+                want[1000 * k + 100 * m + i] = (f"http://{base}{kind}/{'ab'[i % 2]}{word(i)}/z", verdict)
+    df = spark.createDataFrame([(i, u) for i, (u, _) in want.items()], "page_id bigint, url string")
+    got = urls.judged(df, rules).collect()
+    assert sum(r["rule"] is None for r in got) == 120
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: v for i, (_, v) in want.items()}
+
+
 # -- 7 --------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,9 @@ tree, a branch whose values are nearly as many as its pages is one wildcard, and
 branches whose blocked shares don't differ significantly from their parent's are merged. A template
 is rejected where its blocked share, smoothed towards one half, is high; without labels it is not.
 
-Only counts of (host, template) move between levels, combined before each shuffle; pages join the
-verdicts of their templates at the end. A null URL, or one without ``://``, has an empty host and
+The tree goes as deep as paths do; runs of segments without a branch are one step, so the number of
+passes is that of the levels at which paths part. Only counts of (host, template) move between
+levels, combined before each shuffle; pages join the verdicts of their templates at the end. A null URL, or one without ``://``, has an empty host and
 path, fits no rule and is allowed like any host without labels. Repeated rows count each. Empty
 tables give no rows. Other columns are ignored.
 """
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import written
+from waymark.llm.common import new_folder, written
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class Rule:
 
 #: Rules of the contract.
 RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
-#: Levels of the tree; segments below the last one are one wildcard.
+#: Levels that the SQL of ``op6_urls`` goes down; the operator has no limit unless it is given one.
 DEPTH = 5
 #: A branch is variable from that many values, if there is more than one value for each so many pages.
 VALUES, SPREAD = 20, 4
@@ -66,8 +67,8 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return pattern, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with plain wildcards, the last one standing for all that is deeper."""
+def segments(path: Column, depth: int | None = None) -> Column:
+    """The path's segments with plain wildcards; with a ``depth``, the last one stands for all that is deeper."""
     s = F.filter(F.split(path, "/"), lambda x: x != "")
 
     def general(x):
@@ -77,54 +78,75 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
         return F.when(kind.isNotNull(), F.concat(kind, ending)).otherwise(x)
 
     s = F.transform(s, general)
+    if depth is None:
+        return s
     return F.when(F.size(s) > depth, F.concat(F.slice(s, 1, depth - 1), F.array(F.lit("{*}")))).otherwise(s)
 
 
-def tree(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``host, segs, rejected`` for every distinct (host, generalised path): the fate of its template.
+def tree(labelled: DataFrame) -> DataFrame:
+    """``host, segs, template, share, rejected`` for every distinct (host, generalised path): the fate of its template.
 
     ``labelled`` has ``host, segs, blocked`` (1, 0, or null without a label). Level by level, each
-    (host, template so far) is a node; what its children are is decided from their counts alone.
+    (host, template so far) is a node; what its children are is decided from their counts alone. The
+    segments that all paths of a node have in common are taken in one step, as no count changes there.
     """
+    spark = labelled.sparkSession
     leaves = labelled.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
-    at = written(leaves.withColumn("template", F.lit("")).withColumn("share", F.lit(NEUTRAL)), "leaves")
+    at = written(leaves.withColumns({"template": F.lit(""), "share": F.lit(NEUTRAL), "rest": F.col("segs")}), "leaves")
+    ended, path = at.select("host", "segs", "template", "share"), new_folder(spark, "ended")
 
     def smoothed(bad, known):
         return (F.col(bad) + F.lit(PRIOR * NEUTRAL)) / (F.col(known) + F.lit(PRIOR))
 
-    for level in range(depth):
-        seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
-        at = at.withColumn("seg", seg)
+    def alike(bad, known, pooled):
+        error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col(known), F.lit(1)))
+        return (F.col(known) == 0) | (F.abs(F.col(bad) / F.greatest(F.col(known), F.lit(1)) - pooled) <= F.lit(ERRORS) * error)
+
+    pooled = smoothed("all_bad", "all_known")
+    ended.limit(0).write.parquet(path)
+    while not at.isEmpty():
+        # what all paths of a node begin with: what the least and the greatest have in common
+        run = at.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+        parted = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        run = run.withColumns({"common": F.when(parted == 0, F.size("low")).otherwise(parted - 1).cast("int"), "down": pooled})
+        merges = alike("all_bad", "all_known", pooled) & (F.col("all_known") > 0)
+        names = F.transform(F.slice("low", F.lit(1), F.col("common")), lambda x: F.concat(F.lit("/"), F.when(F.col("merges"), "{~}").otherwise(x)))
+        run = run.withColumn("merges", merges).withColumn("more", F.concat_ws("", names))
+        run = written(run.select("host", "template", "common", "more", "down", (F.col("low") == F.col("high")).alias("ends")), "runs")
+        share = F.when(F.col("common") > 0, F.col("down")).otherwise(F.col("share"))
+        rest = F.slice("rest", F.col("common") + 1, F.greatest(F.size("rest"), F.lit(1)))
+        at = at.join(run, ["host", "template"]).select("host", "segs", "n", "known", "bad", F.concat("template", "more").alias("template"), share.alias("share"), rest.alias("rest"), "ends")
+        at = written(at, "runs-taken")
+        at.where("ends").select(*ended.columns).write.mode("append").parquet(path)
+        at = at.where("not ends").drop("ends").withColumn("seg", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
         branch = at.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
         branch = written(branch, "branches")
         node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
         node = written(node, "nodes")
         b = branch.join(node, ["host", "template"])
-        pooled = smoothed("all_bad", "all_known")
-        own = F.col("bad") / F.greatest(F.col("known"), F.lit(1))
-        error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col("known"), F.lit(1)))
-        similar = (F.col("known") == 0) | (F.abs(own - pooled) <= F.lit(ERRORS) * error)
         variable = (F.col("values") >= VALUES) & (F.col("values") * SPREAD >= F.col("pages"))
-        name = F.when(F.col("seg") == "", "").when(variable & ~F.col("seg").startswith("{"), "{*}").when(similar & (F.col("known") > 0), "{~}").otherwise(F.col("seg"))
+        name = F.when(F.col("seg") == "", "").when(variable & ~F.col("seg").startswith("{"), "{*}").when(alike("bad", "known", pooled) & (F.col("known") > 0), "{~}").otherwise(F.col("seg"))
         b = written(b.select("host", "template", "seg", name.alias("name"), "known", "bad"), "named")
         merged = b.groupBy("host", "template", "name").agg(F.sum("known").alias("k"), F.sum("bad").alias("m"))
         merged = written(merged.select("host", "template", "name", smoothed("m", "k").alias("down")), "merged")
         step = b.select("host", "template", "seg", "name").join(merged, ["host", "template", "name"])
         step = written(step, "steps")
-        at = at.join(step, ["host", "template", "seg"]).select("host", "segs", "n", "known", "bad", F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"), F.when(F.col("name") == "", F.col("share")).otherwise(F.col("down")).alias("share"))
-        at = written(at, f"level{level}")
-    return at.select("host", "segs", "template", "share", (F.col("share") >= REJECT).alias("rejected"))
+        at = at.join(step, ["host", "template", "seg"]).select("host", "segs", "n", "known", "bad", F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"), F.when(F.col("name") == "", F.col("share")).otherwise(F.col("down")).alias("share"), "rest", "name")
+        at = written(at, "level")
+        at.where("name = ''").select(*ended.columns).write.mode("append").parquet(path)
+        at = at.where("name <> ''").drop("name").withColumn("rest", F.slice("rest", F.lit(2), F.size("rest")))
+    return spark.read.schema(ended.schema).parquet(path).withColumn("rejected", F.col("share") >= REJECT)
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = DEPTH) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, share`` of every row."""
     host, path = parts(F.col("url").cast("string"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "told": verdict, "segs": segments(F.col("path"), depth)})
     p = written(p, "urls")  # narrow: what the tree needs again and again
-    fates = tree(p.select("host", "segs", (F.col("told") == "block").cast("int").alias("blocked")), depth)
-    # one row for each host and generalised path; hot ones meet a single row, so their rows can be split
+    fates = tree(p.select("host", "segs", (F.col("told") == "block").cast("int").alias("blocked")))
+# one row for each host and generalised path; hot ones meet a single row, so their rows can be split
     out = p.join(fates, ["host", "segs"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "share")
 
