@@ -2,6 +2,7 @@
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 D = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: A bench's own folder, as the session of the bench is local.
-WORK = os.environ.get("BENCH_WORK", "/tmp/waymark-bench")
+WORK = os.environ.get("BENCH_WORK") or tempfile.mkdtemp(prefix="waymark-bench-")
 
 
 def main() -> None:
@@ -36,16 +37,18 @@ def main() -> None:
         took[name] = round(time.time() - t, 3)
 
     data = spark.read.parquet(f"{D}/lineitem.parquet")
-    # 72 row groups, as a table of this engine's target size would have
-    data.coalesce(1).write.option("parquet.block.row.count.limit", 10_000).mode("overwrite").parquet(f"{WORK}/lineitem")
-    one = TableIndexer.parquet(spark, f"{WORK}/lineitem")
-    index = one.create_index_df(["l_orderkey", "l_linenumber"])
+    # two layouts: Spark's own, where all rows are one row group, and many groups of 10,000 rows
+    data.coalesce(1).write.mode("overwrite").parquet(f"{WORK}/lineitem")
+    data.coalesce(1).write.option("parquet.block.row.count.limit", 10_000).mode("overwrite").parquet(f"{WORK}/lineitem_groups")
     payload = ["l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    timed("warm_up", lambda: one.load_by_index(index.where("l_orderkey = 1"), payload))
-    for share, mod in (("0.1", 1000), ("1", 100), ("10", 10), ("100", 1)):
-        wanted = index.where(F.col("l_orderkey") % mod == 0)
-        timed(f"seek_{share}pct", lambda w=wanted: one.load_by_index(w, payload))
-        timed(f"scan_{share}pct", lambda w=wanted: one.data.join(w.select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"], "left_semi").select(*payload))
+    for layout, suffix in (("lineitem_groups", "_groups"), ("lineitem", "")):
+        one = TableIndexer.parquet(spark, f"{WORK}/{layout}")
+        index = one.create_index_df(["l_orderkey", "l_linenumber"])
+        timed("warm_up", lambda: one.load_by_index(index.where("l_orderkey = 1"), payload))
+        for share, mod in (("0.1", 1000), ("1", 100), ("10", 10), ("100", 1)):
+            wanted = index.where(F.col("l_orderkey") % mod == 0)
+            timed(f"seek_{share}pct{suffix}", lambda w=wanted: one.load_by_index(w, payload))
+            timed(f"scan_{share}pct{suffix}", lambda w=wanted: one.data.join(w.select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"], "left_semi").select(*payload))
     spark.sql(f"CREATE TABLE li USING parquet LOCATION '{WORK}/lineitem'")
     made = IndexManager.create_new(spark, "li", "li_index", ["l_orderkey"], ["l_linenumber"], num_buckets=int(CPUS))
     timed("index_append", lambda: made.append_missing_partitions() and None)

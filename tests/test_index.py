@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import IndexManager, IndexSpec, KVFile, KVFolder, ReaderOptions, TableIndexer, WriterOptions, write_kv, write_partitioned_kv
-from waymark.functions.buckets import SPELT_OUT
+from waymark.functions.buckets import SPELT_OUT, partition_predicate
+from waymark.operators import reader
+from waymark.operators.join import join_with_index
 from waymark.operators.layout import co_partition
-from waymark.operators.reader import Reporter
-from waymark.plans.chunks import tree_height
-from waymark.sources.files import list_files
+from waymark.operators.reader import Metrics, Reporter
+from waymark.plans.chunks import bucket_count, sampled_size, tree_height
+from waymark.sources.files import ARROW_SCHEMES, arrow_reaches, list_files
 from waymark.spec import FILE, OFFSET
 from waymark.streaming.append import index_stream, read_stream_index
 
@@ -140,6 +142,80 @@ def test_bad_locators(spark, made):
         assert lax.load_by_index(mixed, ["var1"]).count() == 5
 
 
+def test_files_open_once(spark, tmp_path):
+    """A task opens each of its files once and decodes each of its groups once, however small Arrow's batches are."""
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    df = spark.range(0, 60_000, 1, 1).withColumn("v", F.col("id") * 3)
+    df.write.parquet(one)
+    df.write.option("parquet.block.row.count.limit", 7000).parquet(many)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        for path, groups in ((one, 1), (many, 9)):
+            told = Metrics(spark)
+            t = TableIndexer.parquet(spark, path, options=ReaderOptions(strategy="seek", metrics=told))
+            got = t.load_by_index(t.create_index_df(["id"]).where("id % 4 <> 1"), ["v"])
+            assert got.agg(F.sum("v"), F.count("v")).first() == (3 * sum(i for i in range(60_000) if i % 4 != 1), 45_000)
+            assert told.values() == {"files": 1, "groups": groups, "rows": 45_000, "bytes": told.bytes.value} and told.bytes.value >= 45_000 * 16
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fetch_all_opens_once(spark, monkeypatch):
+    name = f"d_{uuid.uuid4().hex[:8]}"
+    spark.range(300).select(F.lit(1).alias("k"), "id").repartition(2).write.saveAsTable(name)
+    m = IndexManager.create_new(spark, name, f"{name}_i", ["k"], num_buckets=2)
+    m.append_missing_partitions()
+    opened = []
+    plain = reader.open_input
+    monkeypatch.setattr(reader, "open_input", lambda uri: (opened.append(uri), plain(uri))[1])
+    assert sorted(r["id"] for r in m.fetch_all(1, fields=["id"])) == list(range(300)) and len(opened) == 2
+
+
+def test_schemes():
+    assert arrow_reaches("/a/b") and arrow_reaches("file:/a/b") and not arrow_reaches("wasbs://c@a/b") and not arrow_reaches("odd://x/y")
+    assert {s: ARROW_SCHEMES[s] for s in ("s3a", "abfss", "viewfs")} == {"s3a": "s3", "abfss": "abfss", "viewfs": "viewfs"}
+
+
+def test_partitions_prune(spark):
+    """Predicates compare in the columns' own types, so that they become partition filters, few or many."""
+    name = f"d_{uuid.uuid4().hex[:8]}"
+    spark.range(60).select("id", (F.col("id") % 30).cast("int").alias("p"), F.to_date(F.lit("2024-01-01")).alias("day")).write.partitionBy("p", "day").saveAsTable(name)
+    df = spark.table(name)
+    for n in (1, 2, SPELT_OUT + 4):
+        some = df.where(partition_predicate([{"p": i, "day": "2024-01-01"} for i in range(n)], df.schema))
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        part = plan[plan.index("PartitionFilters") :]
+        assert "p#" in part.split("PushedFilters")[0] and (n > SPELT_OUT or "cast(p#" not in part)
+        assert some.count() == 2 * n
+    assert df.where(partition_predicate([{"p": None, "day": None}], df.schema)).count() == 0
+
+
+def test_sizing(spark):
+    """Buckets are counted for a partition, not for the table; an index defined before its data is sized by the first append."""
+    name = f"d_{uuid.uuid4().hex[:8]}"
+    spark.range(0, 200_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), (F.col("id") % 8).cast("int").alias("p")).repartition("p").write.partitionBy("p").saveAsTable(name)
+    total = bucket_count(*sampled_size(spark.table(name), ["k"], 1.0), 1)
+    assert 12 <= total <= 20
+    m = IndexManager.create_new(spark, name, f"{name}_i", ["k"], writer=WriterOptions(target_file_mb=1))
+    assert 1 <= m.num_buckets <= 3
+    m.append_missing_partitions()
+    assert len(m.get_index().inputFiles()) <= 8 * m.num_buckets and m.get_index().count() == 200_000
+    empty = f"d_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE TABLE {empty} (k string) USING parquet")
+    e = IndexManager.create_new(spark, empty, f"{empty}_i", ["k"], writer=WriterOptions(target_file_mb=1))
+    assert e.num_buckets == 1 and e.append_missing_partitions() == [{}] and e.num_buckets == 1
+    spark.table(name).select("k").write.insertInto(empty)
+    e.append_missing_partitions()
+    assert e.num_buckets == total and e.get_index().count() == 200_000 and e.get_missing_partitions() == []
+
+
+def test_first_of_hot_key(spark):
+    """A key of a million rows is one row a task before anything is moved."""
+    index = spark.range(0, 1_000_000, 1, 8).select(F.when(F.col("id") % 100 == 7, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.lit("f").alias(FILE), F.col("id").alias(OFFSET), F.lit(0).alias("data_sub_offset"), F.lit(-1).alias("data_size"))
+    got = {r["k"]: r[OFFSET] for r in join_with_index(spark.createDataFrame([(-1,), (7,), (8,)], "k bigint"), index, ["k"], []).collect()}
+    assert got == {-1: 0, 7: 7}
+
+
 def test_join(spark, made):
     m, data, _ = made
     probe = data.where("var2 % 3 = 0").select("dt", "id_col", F.col("var2").alias("p")).union(spark.createDataFrame([("2021-02-03", "none", 1), ("1999", "msg_1", 1), ("2021-02-04", None, 5)], "dt string, id_col string, p int"))
@@ -216,6 +292,14 @@ def test_files(spark, tmp_path):
     assert got.select("partition_def.dt").distinct().first()[0] == "a'b"
     assert list_files(spark, [({}, str(tmp_path / "none"))]).count() == 0
     assert list_files(spark, [({}, str(tmp_path))], split=False, name_like="x%").count() == 1
+    spark.conf.set("indexer.files.chunkMB", "1")
+    try:
+        assert list_files(spark, [({}, str(tmp_path))], name_like="x%").count() == 5
+        spark.conf.set("indexer.files.chunk.split", "false")
+        assert list_files(spark, [({"a": 1}, str(tmp_path)), ({"a": 2}, str(tmp_path))], name_like="x%").count() == 2
+    finally:
+        spark.conf.unset("indexer.files.chunkMB")
+        spark.conf.unset("indexer.files.chunk.split")
 
 
 def test_kv(spark, tmp_path):

@@ -14,18 +14,16 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from waymark.functions.buckets import bucket_of, partition_predicate
 from waymark.operators.join import JOIN_CONF, LOOKUP_CONF, join_with_index, missing_partitions, settings
 from waymark.operators.layout import guard_decimals
-from waymark.plans.chunks import bucket_count, sample_size
+from waymark.plans.chunks import bucket_count, sampled_size
 from waymark.sources.indexer import TableIndexer, resolve_format, with_row_sizes
 from waymark.spec import FILE, LOCATOR, LOCATOR_DDL, IndexSpec, ReaderOptions, WriterOptions
 
 #: Fixed names of the table properties that make an index reopenable.
-PROP_DATA, PROP_KEYS, PROP_MORE, PROP_BUCKETS = "index.meta.dataTableName", "index.meta.keys", "index.meta.moreFields", "index.meta.buckets"
+PROP_DATA, PROP_KEYS, PROP_MORE, PROP_BUCKETS, PROP_OPEN = "index.meta.dataTableName", "index.meta.keys", "index.meta.moreFields", "index.meta.buckets", "index.meta.buckets.open"
 #: Fixed value: how the catalog writes a null partition value.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Rows of one key that a lookup takes at once; a key with more is streamed.
 AT_ONCE = 10_000
-#: Tasks of one append at most; beyond that a task writes several files, one after another.
-MOST_TASKS = 100_000
 
 
 def _quoted(name: str) -> str:
@@ -48,14 +46,13 @@ class IndexManager:
         self.writer = writer or WriterOptions.of(spark)
         self.format = resolve_format(spark, _quoted(spec.data_table))
         self.parts = [c.name for c in spark.catalog.listColumns(spec.data_table) if c.isPartition]
-        for k, v in JOIN_CONF.items():
-            spark.conf.set(k, v)
 
     # -- definition -------------------------------------------------------------------------------
 
     @classmethod
     def create_new(cls, spark: SparkSession, data: str, index: str, keys: list[str], more_fields: list[str] | None = None, num_buckets: int | None = None, location: str | None = None, **kw) -> IndexManager:
-        """Define an empty index. The bucket count is fixed here: given, or from a sample of the data."""
+        """Define an empty index. The bucket count is given, or from a sample of the data's files: so many that a
+        file of each partition is about the target size. Where there are no data yet, the first append decides."""
         spec = IndexSpec(data, index, tuple(keys), tuple(more_fields or ()))
         self = cls(spark, spec, **kw)
         if spark.catalog.tableExists(index):
@@ -68,17 +65,9 @@ class IndexManager:
         if both := [c for c in spec.keys + spec.more_fields if c in self.parts]:
             raise ValueError(f"partition columns are part of every index already: {both}")
         chosen = guard_decimals(table.select(*[f"`{c}`" for c in spec.keys + spec.more_fields]), self.writer.cast_decimal_to_double)
-        n = num_buckets or (self.writer.num_parts if self.writer.num_parts > 0 else bucket_count(*sample_size(chosen, self.writer.sample_rate), self.writer.target_file_mb))
-        cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema] + [LOCATOR_DDL] + [f"`{p}` {table.schema[p].dataType.simpleString()}" for p in self.parts]
-        keys_sql = ", ".join(f"`{k}`" for k in spec.keys)
-        spark.sql(
-            f"CREATE TABLE {_quoted(index)} ({', '.join(cols)}) USING parquet"
-            + f" OPTIONS ('parquet.page.row.count.limit' = '{self.writer.interval}', 'compression' = '{self.writer.compression}')"
-            + (f" PARTITIONED BY ({', '.join(f'`{p}`' for p in self.parts)})" if self.parts else "")
-            + f" CLUSTERED BY ({keys_sql}) SORTED BY ({keys_sql}) INTO {n} BUCKETS"
-            + (f" LOCATION {_sql_str(location)}" if location else "")
-            + f" TBLPROPERTIES ({_sql_str(PROP_DATA)} = {_sql_str(data)}, {_sql_str(PROP_KEYS)} = {_sql_str(json.dumps(spec.keys))}, {_sql_str(PROP_MORE)} = {_sql_str(json.dumps(spec.more_fields))}, {_sql_str(PROP_BUCKETS)} = '{n}')"
-        )
+        n = num_buckets or (self.writer.num_parts if self.writer.num_parts > 0 else None)
+        sized = n or self._sized(table, self._partition_total())
+        self._define(table, sized or 1, location, open_=sized is None)
         return self
 
     @classmethod
@@ -89,9 +78,52 @@ class IndexManager:
             raise ValueError(f"{index} is no index")
         return cls(spark, IndexSpec(props[PROP_DATA], index, tuple(json.loads(props[PROP_KEYS])), tuple(json.loads(props[PROP_MORE]))), **kw)
 
+    def _define(self, table: DataFrame, n: int, location: str | None, open_: bool) -> None:
+        """Create the index table; ``open_``: its bucket count is yet to be decided."""
+        spec = self.spec
+        chosen = guard_decimals(table.select(*[f"`{c}`" for c in spec.keys + spec.more_fields]), self.writer.cast_decimal_to_double)
+        cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema] + [LOCATOR_DDL] + [f"`{p}` {table.schema[p].dataType.simpleString()}" for p in self.parts]
+        keys_sql = ", ".join(f"`{k}`" for k in spec.keys)
+        self.spark.sql(
+            f"CREATE TABLE {_quoted(spec.index_table)} ({', '.join(cols)}) USING parquet"
+            + f" OPTIONS ('parquet.page.row.count.limit' = '{self.writer.interval}', 'compression' = '{self.writer.compression}')"
+            + (f" PARTITIONED BY ({', '.join(f'`{p}`' for p in self.parts)})" if self.parts else "")
+            + f" CLUSTERED BY ({keys_sql}) SORTED BY ({keys_sql}) INTO {n} BUCKETS"
+            + (f" LOCATION {_sql_str(location)}" if location else "")
+            + f" TBLPROPERTIES ({_sql_str(PROP_DATA)} = {_sql_str(spec.data_table)}, {_sql_str(PROP_KEYS)} = {_sql_str(json.dumps(spec.keys))}, {_sql_str(PROP_MORE)} = {_sql_str(json.dumps(spec.more_fields))}, {_sql_str(PROP_BUCKETS)} = '{n}', {_sql_str(PROP_OPEN)} = '{str(open_).lower()}')"
+        )
+
+    def _partition_total(self) -> int:
+        """Partitions of the data, as the catalog lists them, or else as they are found; 1 without any."""
+        if not self.parts:
+            return 1
+        listed = self._listed(self.spec.data_table)
+        return max(1, (self.partitions() if listed is None else listed).count())
+
+    def _sized(self, table: DataFrame, partitions: int) -> int | None:
+        """Buckets of a partition from a sample of files, or None where those have no rows."""
+        fields = [*self.spec.keys, *self.spec.more_fields]
+        rows, row_bytes = sampled_size(table, fields, self.writer.sample_rate)
+        return bucket_count(rows / partitions, row_bytes, self.writer.target_file_mb) if rows else None
+
+    def _props(self) -> dict[str, str]:
+        return {r[0]: r[1] for r in self.spark.sql(f"SHOW TBLPROPERTIES {_quoted(self.spec.index_table)}").collect()}
+
+    def _decide(self, data: DataFrame, partitions: int) -> None:
+        """The bucket count of an index that was defined before there were data, from the first of them."""
+        if self._props().get(PROP_OPEN) != "true" or self.get_index().take(1):
+            return
+        n = self._sized(data, partitions)
+        if n is None:
+            return
+        told = {r[0].strip(): r[1] for r in self.spark.sql(f"DESCRIBE FORMATTED {_quoted(self.spec.index_table)}").collect()}
+        location = told.get("Location") if told.get("Type", "").upper() == "EXTERNAL" else None
+        self.drop()
+        self._define(self.spark.table(self.spec.data_table), n, location, open_=False)
+
     @property
     def num_buckets(self) -> int:
-        return int({r[0]: r[1] for r in self.spark.sql(f"SHOW TBLPROPERTIES {_quoted(self.spec.index_table)}").collect()}[PROP_BUCKETS])
+        return int(self._props()[PROP_BUCKETS])
 
     @property
     def index_folder(self) -> str:
@@ -133,7 +165,7 @@ class IndexManager:
             kind = {p: data.schema[p].dataType for p in self.parts}
             # values in the columns' own types: 0.42 in a name may be 0.42000 in the table
             may = [{p: F.lit(None if s[p] == NULL_PARTITION else unquote(s[p])).try_cast(kind[p]) for p in self.parts} for s in may]
-            data, index = data.where(partition_predicate(may)), index.where(partition_predicate(may))
+            data, index = data.where(partition_predicate(may, data.schema)), index.where(partition_predicate(may, index.schema))
         rows = missing_partitions(data, index, self.parts)
         return [r.asDict() for r in rows.orderBy(*self.parts).collect()]
 
@@ -143,7 +175,11 @@ class IndexManager:
         return missing
 
     def append_new_partitions(self, specs: list[dict]) -> None:
-        """Index the given partitions, replacing just those. One scan, one shuffle, no driver rows."""
+        """Index the given partitions, replacing just those. One scan, one shuffle, no driver rows.
+
+        Rows are dealt by partition and bucket. Adaptive execution splits what is too large for one task, such
+        as a hot key's bucket, which then has several files, and gives one task several small buckets.
+        """
         specs = [dict(s) for s in specs]
         if not specs:
             return
@@ -151,11 +187,12 @@ class IndexManager:
             raise ValueError(f"a partition has {self.parts}: {bad}")
         data = self.spark.table(self.spec.data_table)
         if self.parts:
-            data = data.where(partition_predicate(specs))
+            data = data.where(partition_predicate(specs, data.schema))
+        self._decide(data, len(specs))
         rows = self.index_rows(data)
-        n = self.num_buckets
-        # a task holds one bucket of one partition, so each partition gets at most one file a bucket
-        rows = rows.repartition(min(n * len(specs), MOST_TASKS), *[F.col(f"`{p}`") for p in self.parts], bucket_of(list(self.spec.keys), n))  # the table's own order is the writer's to sort by
+        # the table's own order is the writer's to sort by
+        rows = rows.withColumn("__bucket", bucket_of(list(self.spec.keys), self.num_buckets))
+        rows = rows.hint("rebalance", *[F.col(f"`{p}`") for p in self.parts], F.col("__bucket")).drop("__bucket")
         with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             rows.write.insertInto(_quoted(self.spec.index_table), overwrite=True)
 
@@ -194,7 +231,7 @@ class IndexManager:
             raise ValueError(f"a key has {self.spec.keys}, not {list(key)}")
         df = self.get_index()
         if partition:
-            df = df.where(partition_predicate([partition]))
+            df = df.where(partition_predicate([partition], df.schema))
         for k, v in key.items():
             df = df.where(F.col(f"`{k}`") == F.lit(v).cast(df.schema[k].dataType))
         return df
@@ -215,10 +252,12 @@ class IndexManager:
             found = every.take(AT_ONCE + 1)
             if len(found) > AT_ONCE:
                 found = every.toLocalIterator()
-        for at in found:
-            yield self.read_payload(at, fields)
+        yield from self._indexer().read_payloads(found, self.payload_fields(fields))
 
     def join_with_index(self, probe: DataFrame, match: str = "first") -> DataFrame:
+        if self.parts:
+            for k, v in JOIN_CONF.items():
+                self.spark.conf.set(k, v)
         return join_with_index(probe, self.get_index(), list(self.spec.keys), self.parts, match)
 
     def drop(self) -> None:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.layout import first_match
 from waymark.spec import LOCATOR
 
-#: A join on partitions and keys may use buckets of the keys alone. It holds for the session, as
-#: frames derived from a join are planned anew when they run; it changes plans, never results.
+#: A join on partitions and keys may use buckets of the keys alone. A partitioned index sets it when it
+#: is joined, and it then holds for the session, as frames are planned when they run; it changes plans, never results.
 JOIN_CONF = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 #: A lookup reads only its key's bucket. It holds while the lookup runs.
 LOOKUP_CONF = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
@@ -34,7 +35,7 @@ def join_with_index(probe: DataFrame, index: DataFrame, keys: list[str], parts:
 
     ``first``: at most one index row for each key, that of the smallest locator, so the probe's
     multiplicity is kept; ``all``: every match. Null keys never match. No match gives no rows of
-    the full schema.
+    the full schema. The index is brought down to a row a key before the join, map-side first.
     """
     if match not in ("first", "all"):
         raise ValueError(f"match is first or all, not {match!r}")
@@ -45,8 +46,7 @@ def join_with_index(probe: DataFrame, index: DataFrame, keys: list[str], parts:
         rest = [c for c in rest if c not in clash]
     if match == "first":
         order = [c for c in LOCATOR[:3] if c in index.columns] or keys
-        w = Window.partitionBy(*on).orderBy(*order)
-        index = index.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+        index = first_match(index, on, order) if rest else index.distinct()
     return probe.join(index, on, "inner").select(*[f"`{c}`" for c in probe.columns], *[f"`{c}`" for c in rest])
 
 

@@ -40,7 +40,7 @@ def guard_decimals(df: DataFrame, cast: bool) -> DataFrame:
 
 
 def first_match(index: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key by ``order``; a plain minimum over structs, combined map-side."""
+    """The first row of each key by ``order``, combined map-side: a hot key is one row a task before any shuffle."""
     rest = [c for c in index.columns if c not in by]
-    head = F.min(F.struct(*order, *[F.col(f"`{c}`") for c in rest if c not in order])).alias("__m")
-    return index.groupBy(*by).agg(head).select(*by, *[F.col(f"__m.`{c}`") for c in rest])
+    head = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("__m")
+    return index.groupBy(*[f"`{c}`" for c in by]).agg(head).select(*[f"`{c}`" for c in by], *[F.col(f"__m.`{c}`") for c in rest])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import importlib
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from waymark.plans.chunks import chunked
 from waymark.sources.files import arrow_reaches, normal_path, open_input
@@ -16,7 +16,7 @@ from waymark.spec import FILE, LOCATOR, OFFSET, SUB_OFFSET, ReaderOptions
 
 
 class Reporter:
-    """Hooks of the seek reader; the base class counts and says nothing."""
+    """Hooks of the seek reader; the base class says nothing. ``start_read`` and ``end_read`` frame what is taken of one row group."""
 
     def partition_start(self): ...
 
@@ -24,11 +24,29 @@ class Reporter:
 
     def close_file(self, path: str, rows: int, seconds: float): ...
 
+    def start_read(self): ...
+
     def end_read(self, rows: int, nbytes: int): ...
 
     def partition_done(self, files: int, rows: int): ...
 
 
+class Metrics:
+    """Accumulators of what seek readers did in all tasks: files opened, groups decoded, rows and bytes given out.
+
+    Pass one as ``ReaderOptions(metrics=Metrics(spark))`` and read it after an action. A task run again counts again.
+    """
+
+    NAMES = ("files", "groups", "rows", "bytes")
+
+    def __init__(self, spark: SparkSession):
+        for n in self.NAMES:
+            setattr(self, n, spark.sparkContext.accumulator(0))
+
+    def values(self) -> dict[str, int]:
+        return {n: getattr(self, n).value for n in self.NAMES}
+
+
 class LogReporter(Reporter):
     """Says what each file took in the worker's log."""
 
@@ -49,33 +67,48 @@ def reporter_of(x) -> Reporter:
 
 
 class _Seeker:
-    """One open file: row groups (Parquet), stripes (ORC) or blocks (Avro) by cumulated row counts, columns pruned."""
+    """One open file: row groups (Parquet), stripes (ORC) or blocks (Avro) by cumulated row counts, columns pruned.
+
+    The last group stays decoded, so that requests in order decode each group once, however they come in batches.
+    """
 
     def __init__(self, uri: str, fmt: str, columns: list[str]):
-        self.columns, self.fmt = columns, fmt
+        self.uri, self.columns, self.fmt = uri, columns, fmt
         self.handle = open_input(uri)
-        if fmt == "parquet":
-            import pyarrow.parquet as pq
-
-            self.file = pq.ParquetFile(self.handle)
-            counts = [self.file.metadata.row_group(i).num_rows for i in range(self.file.num_row_groups)]
-            self.group = lambda i: self.file.read_row_group(i, columns=columns)
-        elif fmt == "avro":
-            from waymark.sources.avro import AvroFile
-
-            self.file = AvroFile(self.handle, columns)
-            counts, self.group = self.file.counts, self.file.table
-        else:
-            import pyarrow as pa
-            import pyarrow.orc as orc
-
-            self.file = orc.ORCFile(self.handle)
-            self.cache: dict[int, object] = {}
-            counts = [self.file.read_stripe(i, columns=columns[:1]).num_rows for i in range(self.file.nstripes)]
-            self.group = lambda i: pa.Table.from_batches([self.file.read_stripe(i, columns=columns)])
+        try:
+            if fmt == "parquet":
+                import pyarrow.parquet as pq
+
+                self.file = pq.ParquetFile(self.handle)
+                counts = [self.file.metadata.row_group(i).num_rows for i in range(self.file.num_row_groups)]
+                self._decode = lambda i: self.file.read_row_group(i, columns=columns)
+            elif fmt == "avro":
+                from waymark.sources.avro import AvroFile
+
+                self.file = AvroFile(self.handle, columns)
+                counts, self._decode = self.file.counts, self.file.table
+            else:
+                import pyarrow as pa
+                import pyarrow.orc as orc
+
+                # Arrow tells no stripe's rows without decoding one of its columns; that is done once a file, not once a batch
+                self.file = orc.ORCFile(self.handle)
+                counts = [self.file.nrows] if self.file.nstripes == 1 else [self.file.read_stripe(i, columns=columns[:1]).num_rows for i in range(self.file.nstripes)]
+                self._decode = lambda i: pa.Table.from_batches([self.file.read_stripe(i, columns=columns)])
+        except Exception:
+            self.handle.close()
+            raise
         import numpy as np
 
         self.starts = np.concatenate([[0], np.cumsum(counts)]).astype("int64")
+        self.last, self.decoded, self.began, self.given = (-1, None), 0, time.time(), 0
+
+    def group(self, i: int):
+        if self.last[0] != i:
+            self.last = (-1, None)  # two groups are never held
+            self.last = (i, self._decode(i))
+            self.decoded += 1
+        return self.last[1]
 
     def rows(self, offsets):
         """Tables in the order of the sorted ``offsets``; repeats are read once and taken again."""
@@ -84,14 +117,21 @@ class _Seeker:
         if len(offsets) and (offsets[0] < 0 or offsets[-1] >= self.starts[-1]):
             raise IndexError(f"row {offsets[-1]} is outside the file's {self.starts[-1]} rows")
         of = np.searchsorted(self.starts, offsets, side="right") - 1
-        for g in np.unique(of):
-            yield self.group(int(g)).take(offsets[of == g] - self.starts[g])
+        cuts = [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1), len(of)] if len(of) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = offsets[a:b] - self.starts[of[a]]
+            group = self.group(int(of[a]))
+            # a run of neighbours is a slice: nothing is copied
+            yield group.slice(int(at[0]), len(at)) if at[-1] - at[0] == len(at) - 1 and (len(at) == 1 or (at[1:] - at[:-1] == 1).all()) else group.take(at)
 
     def close(self):
+        self.last = (-1, None)
         self.handle.close()
 
 
-def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str], ignore: bool, reporter) -> callable:
+def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str], ignore: bool, reporter, metrics: Metrics | None = None) -> callable:
+    """The kernel: requests come sorted by file and offset; a task opens each file once and decodes each of its groups once."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -101,41 +141,68 @@ def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str],
         told = reporter_of(reporter)
         told.partition_start()
         files = total = 0
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            names = table.column(FILE).to_pylist()
-            order = np.lexsort((table.column(OFFSET).to_numpy(), np.array(["" if n is None else n for n in names])))
-            table = table.take(order)
-            names = np.array([names[i] or "" for i in order], dtype=object)
-            cuts = [0, *(np.nonzero(names[1:] != names[:-1])[0] + 1), len(names)] if len(names) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part, began = table.slice(a, b - a), time.time()
-                try:
-                    told.open_file(names[a])
-                    seeker = _Seeker(names[a], fmt, payload)
-                except Exception:
-                    if not ignore:
-                        raise
+        seeker: _Seeker | None = None
+        bad = None  # a file that can't be opened isn't tried again for each batch
+
+        def leave():
+            nonlocal seeker
+            if seeker is not None:
+                seeker.close()
+                told.close_file(seeker.uri, seeker.given, time.time() - seeker.began)
+                if metrics is not None:
+                    metrics.groups.add(seeker.decoded)
+                seeker = None
+
+        try:
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                files += 1
-                try:
+                table = pa.Table.from_batches([batch])
+                names = np.array([n or "" for n in table.column(FILE).to_pylist()], dtype=object)
+                offsets = table.column(OFFSET).to_numpy()
+                order = np.lexsort((offsets, names))
+                if (np.diff(order) != 1).any():
+                    table, names = table.take(order), names[order]
+                cuts = [0, *(np.nonzero(names[1:] != names[:-1])[0] + 1), len(names)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = table.slice(a, b - a)
+                    if seeker is None or seeker.uri != names[a]:
+                        leave()
+                        if ignore and bad == names[a]:
+                            continue
+                        try:
+                            told.open_file(names[a])
+                            seeker = _Seeker(names[a], fmt, payload)
+                        except Exception:
+                            if not ignore:
+                                raise
+                            bad = names[a]
+                            continue
+                        files += 1
                     offsets = part.column(OFFSET).to_numpy()
                     if ignore:
                         good = (offsets >= 0) & (offsets < seeker.starts[-1])
                         part, offsets = part.filter(pa.array(good)), offsets[good]
                     at = 0
+                    told.start_read()
                     for got in seeker.rows(offsets):
                         own = part.slice(at, got.num_rows)
                         at += got.num_rows
                         cols = [own.column(c) for c in kept] + [got.column(c) for c in payload]
                         cols = [c.cast(f.type) for c, f in zip(cols, target, strict=True)]
-                        told.end_read(got.num_rows, got.nbytes)
-                        total += got.num_rows
-                        yield from pa.Table.from_arrays(cols, schema=target).to_batches(max_chunksize=10_000)
-                    told.close_file(names[a], at, time.time() - began)
-                finally:
-                    seeker.close()
+                        out = pa.Table.from_arrays(cols, schema=target)
+                        told.end_read(out.num_rows, out.nbytes)
+                        if metrics is not None:
+                            metrics.bytes.add(out.nbytes)
+                        total += out.num_rows
+                        seeker.given += out.num_rows
+                        yield from out.to_batches(max_chunksize=10_000)
+        finally:
+            leave()
         told.partition_done(files, total)
+        if metrics is not None:
+            metrics.files.add(files)
+            metrics.rows.add(total)
 
     return run
 
@@ -145,6 +212,33 @@ def _seekable(fmt: str, payload: StructType) -> bool:
     return fmt in ("parquet", "orc") or (fmt == "avro" and "timestamp" not in payload.simpleString())
 
 
+def _root(data: DataFrame) -> str | None:
+    """A root folder or file of a plain scan, without listing what is in it."""
+    for leaf in _leaves(data):
+        roots = leaf.relation().location().rootPaths()
+        return roots.head().toString() if roots.nonEmpty() else None
+    return None
+
+
+def _leaves(df: DataFrame) -> list:
+    """Scans of files in the analysed plan."""
+    plan, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(plan.size()):
+        leaf = plan.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            out.append(leaf)
+    return out
+
+
+def _reached(data: DataFrame) -> bool:
+    """Whether Python workers can open the data's files, told from the scan's root alone where it has one."""
+    root = _root(data)
+    if root is not None:
+        return arrow_reaches(root)
+    files = data._jdf.inputFiles()  # stays in the JVM: one name is enough
+    return len(files) > 0 and arrow_reaches(files[0])
+
+
 def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
     """One row for each request; columns of ``index`` without locators and payload names, then the payload.
 
@@ -155,8 +249,7 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     schema = StructType([index.schema[c] for c in kept] + list(payload))
     strategy = options.strategy
     if strategy == "auto":
-        files = data._jdf.inputFiles()  # stays in the JVM: one name is enough
-        strategy = "seek" if len(files) and arrow_reaches(files[0]) else "scan"
+        strategy = "seek" if _seekable(fmt, payload) and _reached(data) else "scan"
     if strategy == "scan" or not _seekable(fmt, payload):
         return _scan_join(index, kept, names, fmt, data, options)
     need = index.select(*[f"`{c}`" for c in kept], *LOCATOR)
@@ -164,7 +257,7 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
         need = chunked(need, options)
     else:
         need = need.repartition(F.col(FILE), F.floor(F.col(OFFSET) / options.rows_per_task)).sortWithinPartitions(FILE, OFFSET, SUB_OFFSET)
-    return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter), schema)
+    return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter, options.metrics), schema)
 
 
 def _scan_join(index: DataFrame, kept: list[str], names: list[str], fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
@@ -180,19 +273,28 @@ def _scan_join(index: DataFrame, kept: list[str], names: list[str], fmt: str, da
 
 def read_one(spark: SparkSession, locator, payload: StructType, fmt: str, data: DataFrame) -> dict:
     """One locator's payload as a dict, on the driver, without executors where Arrow reaches the file."""
-    at = locator.asDict() if hasattr(locator, "asDict") else dict(locator)
-    names = payload.fieldNames()
-    if _seekable(fmt, payload) and arrow_reaches(at[FILE]):
-        import numpy as np
-
-        seeker = _Seeker(at[FILE], fmt, names)
-        try:
-            row = next(seeker.rows(np.array([at[OFFSET]], "int64"))).to_pylist()[0]
-        finally:
+    return next(read_many(spark, [locator], payload, fmt, data))
+
+
+def read_many(spark: SparkSession, locators: Iterable, payload: StructType, fmt: str, data: DataFrame) -> Iterator[dict]:
+    """Payloads as dicts, in the order of the locators; neighbours of one file share an open file and its decoded group."""
+    names, seeker = payload.fieldNames(), None
+    maps = {n for n in names if isinstance(payload[n].dataType, MapType)}
+    try:
+        for locator in locators:
+            at = locator.asDict() if hasattr(locator, "asDict") else dict(locator)
+            if _seekable(fmt, payload) and arrow_reaches(at[FILE]):
+                import numpy as np
+
+                if seeker is None or seeker.uri != at[FILE]:
+                    if seeker is not None:
+                        seeker.close()
+                    seeker = _Seeker(at[FILE], fmt, names)
+                row = next(seeker.rows(np.array([at[OFFSET]], "int64"))).to_pylist()[0]
+                yield {n: dict(row[n]) if n in maps and row[n] is not None else row[n] for n in names}
+            else:
+                one = spark.createDataFrame([(at[FILE], at[OFFSET], 0, -1)], ", ".join(f"{n} {t}" for n, t in zip(LOCATOR, ("string", "bigint", "int", "int"), strict=True)))
+                yield _scan_join(one, [], names, fmt, data, ReaderOptions()).take(1)[0].asDict()
+    finally:
+        if seeker is not None:
             seeker.close()
-        from pyspark.sql.types import MapType
-
-        return {n: dict(row[n]) if isinstance(payload[n].dataType, MapType) and row[n] is not None else row[n] for n in names}
-    one = spark.createDataFrame([(at[FILE], at[OFFSET], 0, -1)], ", ".join(f"{n} {t}" for n, t in zip(LOCATOR, ("string", "bigint", "int", "int"), strict=True)))
-    rows = _scan_join(one, [], names, fmt, data, ReaderOptions()).take(1)
-    return rows[0].asDict()

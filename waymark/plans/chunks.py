@@ -39,20 +39,48 @@ def chunk_stats(df: DataFrame) -> DataFrame:
 
 
 def tree_height(rows: int, interval: int) -> int:
-    """Levels a tree of this fan-out would need; kept as a sizing report."""
+    """Levels that a tree of this fan-out would need, for reports; row-group statistics take the tree's place."""
     return max(1, math.ceil(math.log(max(rows, 2)) / math.log(max(interval, 2))))
 
 
-def bucket_count(rows: int, row_bytes: float, target_file_mb: int) -> int:
-    """Buckets so that each file of the index is about the target size."""
+def bucket_count(rows: float, row_bytes: float, target_file_mb: int) -> int:
+    """Buckets so that each file of a partition's index is about the target size."""
     return max(1, math.ceil(rows * row_bytes / (target_file_mb << 20)))
 
 
-def sample_size(df: DataFrame, rate: float) -> tuple[int, float]:
-    """Rows and mean bytes of a row, from a sample scaled up; an empty sample falls back to all rows."""
-    cols = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
-    stat = F.count(F.lit(1)).alias("n"), F.sum(sum(cols[1:], cols[0])).alias("b")
-    got = df.sample(rate, seed=7).agg(*stat).first()
-    if not got["n"]:
-        got, rate = df.agg(*stat).first(), 1.0
-    return int(got["n"] / rate), (got["b"] or 0) / max(got["n"], 1)
+#: Bytes that a locator takes in a written index: its offset and size; the file's name is in a dictionary.
+LOCATOR_BYTES = 12
+
+
+def sampled_size(df: DataFrame, columns: list[str], rate: float) -> tuple[int, float]:
+    """Rows of a plain scan, and mean bytes of an index row, from the columns of a sample of its files.
+
+    Files are picked by a hash of their names, three at least; Spark then opens no others. Their
+    rows are scaled up by the number of files. Where none is picked, all files are looked into.
+    """
+    files = len(df._jdf.inputFiles())  # names stay in the JVM, which lists them for any scan
+    if not files:
+        return 0, 0.0
+    name = F.col("_metadata.file_path") if _has_metadata(df) else F.input_file_name()
+    rate = min(1.0, max(rate, 3 / files))
+    size = sum([F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in columns], F.lit(0))
+
+    def told(part: DataFrame):
+        return part.select(name.alias("__f"), size.alias("__b")).agg(F.count(F.lit(1)).alias("n"), F.sum("__b").alias("b"), F.approx_count_distinct("__f", 0.01).alias("files")).first()
+
+    got = told(df.where(F.pmod(F.xxhash64(name), F.lit(1 << 20)) < int(rate * (1 << 20)))) if rate < 1 else None
+    if got is None or not got["n"]:
+        got = told(df)
+        return int(got["n"]), (got["b"] or 0) / max(got["n"], 1) + LOCATOR_BYTES
+    return max(1, round(got["n"] * files / max(1, got["files"]))), (got["b"] or 0) / got["n"] + LOCATOR_BYTES
+
+
+def _has_metadata(df: DataFrame) -> bool:
+    """Whether the scan tells a row's file by a hidden column, by which Spark prunes files before it opens them."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True

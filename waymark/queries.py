@@ -13,9 +13,11 @@ from waymark.manager import IndexManager
 from waymark.operators.join import common_partitions, join_with_index, missing_partitions
 from waymark.operators.kv import KVFolder, write_kv, write_partitioned_kv
 from waymark.operators.layout import first_match, guard_decimals
-from waymark.plans.chunks import running_bytes, tree_height
+from waymark.plans.chunks import bucket_count, running_bytes, sampled_size, tree_height
+from waymark.sources.files import list_files
 from waymark.sources.indexer import TableIndexer, with_row_sizes
 from waymark.spec import FILE, OFFSET, SIZE, SUB_OFFSET, ReaderOptions
+from waymark.streaming.append import index_stream, read_stream_index
 
 
 def _of(spark: SparkSession, d: str, table: str, **kw) -> TableIndexer:
@@ -36,12 +38,12 @@ def index_build(spark, d):
 
 
 def index_filter(spark, d):
-    return _of(spark, d, "lineitem").create_index_df(["l_orderkey", "l_linenumber"]).where("l_orderkey % 100 = 7").drop(FILE, SUB_OFFSET, SIZE)
+    return _of(spark, d, "lineitem").create_index_df(["l_orderkey", "l_linenumber", "l_returnflag"]).where("l_returnflag = 'R'").drop(FILE, SUB_OFFSET, SIZE)
 
 
 def _load(spark, d, times=1, **options):
     one = _of(spark, d, "lineitem", options=ReaderOptions(**options))
-    index = one.create_index_df(["l_orderkey", "l_linenumber"]).where("l_orderkey % 100 = 7")
+    index = one.create_index_df(["l_orderkey", "l_linenumber"])
     if times > 1:
         index = index.withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("__n")
     return one.load_by_index(index, ["l_extendedprice", "l_discount"])
@@ -78,9 +80,64 @@ def load_orc(spark, d):
     path = _shared(spark)
     _read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").write.orc(path)
     one = TableIndexer.orc(spark, path)
-    return one.load_by_index(one.create_index_df(["o_orderkey"]).where("o_orderkey % 50 = 3"), ["o_totalprice", "o_orderpriority"])
+    return one.load_by_index(one.create_index_df(["o_orderkey"]), ["o_totalprice", "o_orderpriority"])
 
 
+def load_text(spark, d):
+    """Through text lines, whose locators are row ordinals and whose rows come by a join on the scan."""
+    path = _shared(spark)
+    _read(spark, d, "documents").select(F.concat_ws("|", "doc_id", "lang", "source")).write.text(path)
+    one = TableIndexer.text(spark, path)
+    return one.load_by_index(one.create_index_df(["value"]).drop("value"), ["value"])
+
+
+def load_selected(spark, d):
+    """Rows that the index selects by a field of its own; the others' row groups aren't decoded where they hold none."""
+    one = _of(spark, d, "lineitem")
+    return one.load_by_index(one.create_index_df(["l_orderkey", "l_quantity"]).where("l_quantity > 45"), ["l_extendedprice", "l_discount"])
+
+
+def load_lax(spark, d):
+    """Locators beyond the file's end and of lost files are left out where failures are ignored."""
+    one = _of(spark, d, "orders", options=ReaderOptions(ignore_failures=True))
+    index = one.create_index_df(["o_orderkey"])
+    far, lost = index.withColumn(OFFSET, F.col(OFFSET) + (1 << 40)), index.withColumn(FILE, F.lit("file:/nowhere/none.parquet"))
+    return one.load_by_index(index.union(far).union(lost), ["o_totalprice"])
+
+
+def stream_index(spark, d):
+    """The index of a folder that files were added to, made by two runs of a streaming query."""
+    data, index, at = _shared(spark), _shared(spark), _shared(spark)
+    orders = _read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    for first in (True, False):
+        orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") == first).write.mode("append").parquet(data)
+        index_stream(spark, data, orders.schema, ["o_orderkey"], index, at, ["o_custkey"]).awaitTermination()
+    return TableIndexer.parquet(spark, data).load_by_index(read_stream_index(spark, index), ["o_orderpriority"])
+
+
+def files_listed(spark, d):
+    """Byte ranges of a table's files: they cover each file once and without a gap."""
+    folder = _shared(spark)
+    _read(spark, d, "lineitem").repartition(5).write.parquet(folder)
+    ranges = list_files(spark, [({"part": "a"}, folder)], chunk_mb=1, name_like="part-%")
+    per = ranges.groupBy("path", "file").agg(F.sum(F.col("end_position") - F.col("start_position")).alias("covered"), F.max("end_position").alias("size"), F.min("start_position").alias("least"), F.count(F.lit(1)).alias("n"))
+    fits = (F.col("covered") == F.col("size")) & (F.col("least") == 0) & (F.col("n") == F.ceil(F.col("size") / (1 << 20)))
+    return per.groupBy(F.lit("a").alias("part")).agg(F.count(F.lit(1)).alias("files"), F.count_if(fits).alias("fitting"))
+
+
+def index_files(spark, d):
+    """Files of each partition of an index whose bucket count comes from a sample of the data's files."""
+    m = _manager(spark, d, "orders", ["o_orderkey"], ["o_custkey"], "o_orderstatus")
+    at = m.get_index().select("o_orderstatus", F.col("_metadata.file_path").alias("f"))
+    return at.groupBy("o_orderstatus").agg(F.countDistinct("f").alias("files"), F.count(F.lit(1)).alias("n"))
+
+
+def manager_reopened(spark, d):
+    """An index opened again by its table's properties answers as the first one did."""
+    m = _manager(spark, d, "orders", ["o_orderkey"], ["o_custkey"], "o_orderstatus")
+    again = IndexManager.load(spark, m.spec.index_table)
+    return again.load_by_index(again.get_index().where("o_orderstatus = 'F'"), ["o_totalprice"])
+
 _managers: dict[tuple, IndexManager] = {}
 
 
@@ -101,7 +158,7 @@ def _manager(spark: SparkSession, d: str, table: str, keys: list[str], more: lis
 
 def manager_load(spark, d):
     m = _manager(spark, d, "orders", ["o_orderkey"], ["o_custkey"], "o_orderstatus")
-    return m.load_by_index(m.get_index().where("o_custkey % 10 = 1"), ["o_totalprice"])
+    return m.load_by_index(m.get_index(), ["o_totalprice"])
 
 
 def manager_index(spark, d):
@@ -139,7 +196,7 @@ def fetch_all(spark, d):
 
 def join_all(spark, d):
     index = _of(spark, d, "orders").create_index_df(["o_custkey", "o_orderkey", "o_totalprice"]).withColumnRenamed("o_custkey", "c_custkey")
-    probe = _read(spark, d, "customer").where("c_custkey % 10 = 3").select("c_custkey")
+    probe = _read(spark, d, "customer").select("c_custkey")
     return join_with_index(probe, index, ["c_custkey"], [], "all").select("c_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -181,8 +238,13 @@ def partition_counts(spark, d):
     return _of(spark, d, "lineitem").create_index_df(["l_returnflag"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a file in one running sum of the query, as a reader's ``rows_per_task`` has it.
+RANGE_ROWS = 1 << 14
+
+
 def running(spark, d):
-    df = _of(spark, d, "lineitem").create_index_df(["l_orderkey", "l_returnflag"]).withColumn("__part", F.lit(0)).withColumn(SIZE, F.lit(8) + F.length("l_returnflag"))
+    """Chunks of about 20000 bytes within ranges of rows, so that no task sums up a file."""
+    df = _of(spark, d, "lineitem").create_index_df(["l_orderkey", "l_returnflag"]).withColumn("__part", F.floor(F.col(OFFSET) / RANGE_ROWS)).withColumn(SIZE, F.lit(8) + F.length("l_returnflag"))
     return running_bytes(df, 1 << 20, "__part").select("l_orderkey", OFFSET, F.floor(F.col("__sum") / 20000).cast("int").alias("chunk"))
 
 
@@ -223,8 +285,9 @@ def decimal_key(spark, d):
 
 
 def sizing(spark, d):
-    n = _of(spark, d, "lineitem").create_index_df(["l_orderkey"]).count()
-    return spark.createDataFrame([(tree_height(n, 1000),)], "height int")
+    """Buckets of one partition, and of each of ten, for files of 1 MB, from a sample of files; a tree's levels beside them."""
+    rows, row_bytes = sampled_size(_read(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], 0.05)
+    return spark.createDataFrame([(bucket_count(rows, row_bytes, 1), bucket_count(rows / 10, row_bytes, 1), tree_height(rows, 1000))], "one int, each int, height int")
 
 
 def row_sizes(spark, d):
@@ -242,19 +305,26 @@ def previous_locator(spark, d):
 LI = "(select *, row_number() over () - 1 as data_offset from lineitem)"
 SQL = {
     "index_build": f"select l_orderkey, l_linenumber, l_shipdate, data_offset from {LI}",
-    "index_filter": f"select l_orderkey, l_linenumber, data_offset from {LI} where l_orderkey % 100 = 7",
-    "load_by_index": "select l_orderkey, l_linenumber, l_extendedprice, l_discount from lineitem where l_orderkey % 100 = 7",
-    "load_by_index_dups": "select l_orderkey, l_linenumber, l_extendedprice from lineitem, (values (1), (2), (3)) t(n) where l_orderkey % 100 = 7",
+    "index_filter": f"select l_orderkey, l_linenumber, l_returnflag, data_offset from {LI} where l_returnflag = 'R'",
+    "load_by_index": "select l_orderkey, l_linenumber, l_extendedprice, l_discount from lineitem",
+    "load_by_index_dups": "select l_orderkey, l_linenumber, l_extendedprice from lineitem, (values (1), (2), (3)) t(n)",
+    "load_text": "select concat_ws('|', doc_id, lang, source) as value from documents",
+    "load_selected": "select l_orderkey, l_quantity, l_extendedprice, l_discount from lineitem where l_quantity > 45",
+    "load_lax": "select o_orderkey, o_totalprice from orders",
+    "stream_index": "select o_orderkey, o_custkey, o_orderpriority from orders",
+    "files_listed": "select 'a' as part, cast(5 as bigint) as files, cast(5 as bigint) as fitting",
+    "index_files": "select o_orderstatus, cast(1 as bigint) as files, count(*) as n from orders group by 1",
+    "manager_reopened": "select o_custkey, o_orderstatus, o_orderkey, o_totalprice from orders where o_orderstatus = 'F'",
     "load_documents": "select doc_id, text from documents where lang = 'de'",
     "load_embeddings": "select vec_id, cast(len(embedding) as bigint) as dims, embedding[1] as first from embeddings where label = 3",
-    "load_orc": "select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderkey % 50 = 3",
-    "manager_load": "select o_custkey, o_orderstatus, o_orderkey, o_totalprice from orders where o_custkey % 10 = 1",
+    "load_orc": "select o_orderkey, o_totalprice, o_orderpriority from orders",
+    "manager_load": "select o_custkey, o_orderstatus, o_orderkey, o_totalprice from orders",
     "manager_index": "select o_orderkey, o_custkey, o_orderstatus from orders",
     "manager_missing": "select distinct l_returnflag from lineitem where l_returnflag <> 'A'",
     "fetch_one": "select o_orderkey, o_totalprice from orders where o_orderkey = 1234",
     "fetch_miss": "select o_orderkey, o_totalprice from orders where o_orderkey = -1",
     "fetch_all": "select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_orderkey = (select min(l_orderkey) from lineitem)",
-    "join_all": "select c_custkey, o_orderkey, o_totalprice from customer join orders on o_custkey = c_custkey where c_custkey % 10 = 3",
+    "join_all": "select c_custkey, o_orderkey, o_totalprice from customer join orders on o_custkey = c_custkey",
     "join_first": f"with i as (select l_orderkey, l_shipdate, data_offset, row_number() over (partition by l_orderkey order by data_offset) k from {LI}) select o_orderkey, l_shipdate, data_offset from orders join i on o_orderkey = l_orderkey and k = 1",
     "join_first_bucketed": f"with i as (select l_orderkey, l_linenumber, data_offset, row_number() over (partition by l_orderkey order by data_offset) k from {LI}) select l_orderkey, l_linenumber, data_offset from orders join i on o_orderkey = l_orderkey and k = 1",
     "first_of_key": f"select l_orderkey, arg_min(l_linenumber, data_offset) as l_linenumber, min(data_offset) as data_offset from {LI} group by 1",
@@ -263,7 +333,7 @@ SQL = {
     "missing_partitions": "select distinct l_returnflag from lineitem except select 'A'",
     "common_partitions": "select distinct o_orderstatus from orders intersect select unnest(['F', 'O', 'Z'])",
     "partition_counts": "select l_returnflag, count(*) as n from lineitem group by 1",
-    "running_bytes": f"select l_orderkey, data_offset, cast(floor((sum(8 + length(l_returnflag)) over (order by data_offset) + 1048576) / 20000) as int) as chunk from {LI}",
+    "running_bytes": f"select l_orderkey, data_offset, cast(floor((sum(8 + length(l_returnflag)) over (partition by data_offset // {RANGE_ROWS} order by data_offset) + 1048576) / 20000) as int) as chunk from {LI}",
     "key_stats": "select count(*) as n, count(distinct l_orderkey) as nk from lineitem",
     "dup_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
     "kv_all": "select o_orderkey, o_totalprice from orders",
@@ -271,7 +341,7 @@ SQL = {
     "kv_point": "select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderkey = 77",
     "bucket_rows": "select cast(count(*) as bigint) as n, cast(count(distinct o_orderkey) as bigint) as k from orders",
     "decimal_key": "select cast(cast(o_totalprice as decimal(12,2)) as double) as k, count(*) as n from orders group by 1",
-    "sizing": "select cast(ceil(ln(count(*)) / ln(1000)) as int) as height from lineitem",
+    "sizing": "with s as (select count(*) as n, sum(length(cast(l_orderkey as varchar)) + length(l_returnflag) + 12) as b from lineitem) select cast(greatest(1, ceil(b / 1048576.0)) as int) as one, cast(greatest(1, ceil(b / 10485760.0)) as int) as each, cast(ceil(ln(n) / ln(1000)) as int) as height from s",
     "row_sizes": "select count(*) as n, count(*) as sized, cast(1 as bigint) as kinds from lineitem",
     "previous_locator": f"select l_orderkey, data_offset, lag(data_offset) over (partition by l_orderkey order by data_offset) as before from {LI}",
 }
@@ -282,5 +352,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manager_missing": manager_missing, "fetch_one": fetch_one, "fetch_miss": fetch_miss, "fetch_all": fetch_all, "join_all": join_all, "join_first": join_first, "join_first_bucketed": join_first_bucketed,
     "first_of_key": first_of_key, "semi_probe": semi_probe, "anti_probe": anti_probe, "missing_partitions": missing, "common_partitions": common, "partition_counts": partition_counts,
     "running_bytes": running, "key_stats": key_stats, "dup_keys": dup_keys, "kv_all": kv_all, "kv_sorted": kv_sorted, "kv_point": kv_point, "bucket_rows": bucket_rows, "decimal_key": decimal_key,
+    "load_text": load_text, "load_selected": load_selected, "load_lax": load_lax, "stream_index": stream_index, "files_listed": files_listed, "index_files": index_files, "manager_reopened": manager_reopened,
     "sizing": sizing, "row_sizes": row_sizes, "previous_locator": previous_locator,
 }

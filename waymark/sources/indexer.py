@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from waymark.operators.reader import load_rows, read_one
+from waymark.operators.reader import load_rows, read_many, read_one
 from waymark.sources.files import normal_path
 from waymark.spec import FILE, LOCATOR, OFFSET, SIZE, SUB_OFFSET, ReaderOptions
 
@@ -113,3 +113,7 @@ class TableIndexer:
     def read_payload(self, locator, fields: list[str] | None = None) -> dict:
         """The payload of one locator, read on the driver."""
         return read_one(self.spark, locator, self.payload_schema(fields), self.fmt, self.data)
+
+    def read_payloads(self, locators, fields: list[str] | None = None):
+        """Payloads of many locators in their order, read on the driver; neighbours of one file share what is open."""
+        return read_many(self.spark, locators, self.payload_schema(fields), self.fmt, self.data)

@@ -91,7 +91,10 @@ class ReaderOptions:
     """How payloads are read back.
 
     ``chunks`` bounds a task's work by bytes; ``strategy`` is ``seek`` (row groups by Arrow),
-    ``scan`` (a join on the scan's own row numbers, for stores that only Spark reads) or ``auto``.
+    ``scan`` (a join on the scan's own row numbers, for stores that only Spark reads) or ``auto``:
+    ``seek`` where Arrow reaches the files. A seek moves locators alone and decodes a row group once
+    a task, so it is no slower than the scan where all rows are wanted. ``metrics`` is a
+    :class:`waymark.operators.reader.Metrics` that counts over all tasks.
     """
 
     ignore_failures: bool = False
@@ -103,6 +106,7 @@ class ReaderOptions:
     reporter: object = None
     strategy: str = "auto"
     rows_per_task: int = 1 << 20
+    metrics: object = None
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
