@@ -357,11 +357,11 @@ def test_topk_query(spark, sf):
 def test_topk_edges(spark):
     rng = random.Random(8)
     rows = [(i, [rng.uniform(-2, 2) for _ in range(3)]) for i in range(300)] + [(300 + i, [1.0, 1.0, 1.0]) for i in range(400)]
-    rows += [(900, None), (901, [1.0, None, 2.0]), (902, [float("nan"), 1.0, 1.0]), (903, [float("inf"), 1.0, 1.0]), (904, []), (905, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (906, [1e9, 1e300, -1e300])]
+    rows += [(900, None), (901, [1.0, None, 2.0]), (902, [float("nan"), 1.0, 1.0]), (903, [float("inf"), 1.0, 1.0]), (904, []), (905, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (906, [1e9, 3e7, -1e12]), (907, [2e7, 1.0, 1.0]), (908, [1e7, 1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"id": F.lit("x"), "score": F.lit("y"), "v": F.lit(1)})
     v = kdtree.quantised(df)
-    got = sorted(tuple(r) for r in kdtree.top_k(v, v.where("id % 25 = 0"), 5, sample_rows=50, shards=4).collect())
-    own = {i: [min(max(math.floor(max(min(x, 1e15), -1e15) * 256), -(2**31) + 1), 2**31 - 1) for x in e] for i, e in rows if i is not None and e and len(e) == 3 and all(x is not None and math.isfinite(x) for x in e)}
+    got = sorted(tuple(r) for r in kdtree.top_k(v, v.where("id % 25 = 0"), 5, shards=40, query_bytes=1000).collect())
+    own = {i: [math.floor(x * 256) for x in e] for i, e in rows if i is not None and e and len(e) == 3 and all(x is not None and math.isfinite(x) for x in e)}
     want = []
     for q in own:
         if q % 25 == 0:
@@ -373,6 +373,24 @@ def test_topk_edges(spark):
     assert kdtree.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_large_components(spark, tmp_path):
+    """Beyond 32 bits as the SQL has it, beyond doubles exactly, and an error beyond 64 bits."""
+    rows = [(0, [1e7, 1.0]), (1, [1.2e7, 1.0]), (2, [9e6, 5.0]), (3, [1.3e7, 1.0]), (50, [1.0, 1e12]), (51, [-1e12, 7.0]), (52, [1234567.015625, 3.0]), (100, [1.0, -1e12]), (101, [1.5, 2.5])]
+    few = [r for r in rows if r[0] not in (50, 51, 100)]
+    for i, (given, fits) in enumerate(((few, True), (rows, True), ([*rows, (150, [1e12, 1e12])], False), ([*few, (9, [1e300, 1.0])], False))):
+        at = tmp_path / str(i)
+        at.mkdir()
+        spark.createDataFrame(given, "vec_id bigint, embedding array<double>").write.parquet(str(at / "embeddings.parquet"))
+        if not fits:
+            with pytest.raises(Exception, match="64 bits"):
+                QUERIES["op4_topk"](spark, str(at)).collect()
+            continue
+        c = duckdb.connect()
+        c.execute(f"create view embeddings as select * from '{at}/embeddings.parquet/*.parquet'")
+        want = sorted(c.execute(SQL["op4_topk"]).fetchall())
+        assert sorted(tuple(r) for r in QUERIES["op4_topk"](spark, str(at)).collect()) == want and want[0][2] == 3
+
+
 def test_topk_repeats(spark, tmp_path):
     """Repeated rows, repeated queries and identifiers with several vectors, as the SQL has them."""
     rng = random.Random(14)

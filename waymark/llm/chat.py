@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, small_batches
+from waymark.llm.common import batches
 
 ROLES = ("system", "user", "assistant")
 #: What speakers are called in transcripts.
@@ -208,7 +208,6 @@ def train(turns: DataFrame, conversations: int = FIT) -> Model:
 def formatted(turns: DataFrame, model: Model | None = None, block: int = BLOCK) -> DataFrame:
     """``conv_id, block, n_turns, n_found, roles, rendered, n_right`` (of 1000 lines, those whose role was recovered)."""
     spark = turns.sparkSession
-    small_batches(spark)
     t = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     model = model or train(t)
     once = t.distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(0)).cast("bigint"))

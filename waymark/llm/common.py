@@ -9,21 +9,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts may be long, and a worker holds a batch at a time.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of what a kernel takes at once: texts may be long. A single longer row is taken alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share, as the session names it; the warehouse's where it names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
+    """A folder of this application's own in the shared one; :func:`clean` deletes them all."""
+    return f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}/waymark-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,20 +32,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/waymark-" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written`, once nothing reads them any more."""
+    for df in tables:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if "/waymark-" in f:
+                _delete(df.sparkSession, f)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session asks for smaller ones still."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that still read from there end with it."""
+    _delete(spark, f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}")
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def batches(rows: Iterator) -> Iterator:
-    """Arrow batches that hold rows."""
+    """What Arrow brings, in slices of bounded rows and bytes, without copies and whatever the session's own batches are."""
     for b in rows:
-        if b.num_rows:
-            yield b
+        for a in range(0, b.num_rows, BATCH_ROWS):
+            todo = [b.slice(a, BATCH_ROWS)]
+            while todo:
+                part = todo.pop()
+                if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+
+def by_slices(column, f, dtype: type) -> np.ndarray:
+    """``f`` over slices of one Arrow column, joined: what scalar kernels use."""
+    import pyarrow as pa
+
+    got = [f(b.column(0)) for b in batches([pa.RecordBatch.from_arrays([column], names=["x"])])]
+    return np.concatenate(got) if got else np.zeros(0, dtype)

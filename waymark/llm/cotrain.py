@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batches, small_batches, utf8
+from waymark.llm.common import Words, batches, utf8
 
 #: Bounds of the samples, and of a text in them.
 FIT_DOCS, FREE_DOCS, FIT_CHARS = 2000, 4000, 20_000
@@ -214,7 +214,6 @@ def _score_batches(rows, shared):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """``id, score, text_score, meta_score`` of each row; one pass over whole texts, no shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), *_columns(docs))
     return rows.mapInArrow(partial(_score_batches, shared=shared), f"id {docs.schema[id_col].dataType.simpleString()}, score double, text_score double, meta_score double")

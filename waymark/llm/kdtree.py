@@ -2,10 +2,13 @@
 
 Trees split at medians by rank, down to leaves or equal points, and keep tight bounding boxes; a box's
 bound is the largest inner product that any point of it can have with the query. Nodes are opened
-in the order of bounds until the bound falls below the kth score so far. A first pass over one small
-shard gives each query a kth score to begin with, which all shards then start from.
+in the order of bounds until the bound falls below the kth score so far. That score goes from shard to
+shard: a task hands the best so far on to its next tree, and a first round over a part of the shards
+gives all tasks of the second one the kth score that it reached.
 
-Components become ``floor(256 * x)``, kept within 32 bits. Vectors that are null, empty, or hold null or
+Components become ``floor(256 * x)`` as 64-bit integers, and scores are exact: in doubles or 64-bit
+integers where sizes allow it, else in whole numbers of any size. What 64 bits can't hold, a component
+or a score that is to be returned, is an error. Vectors that are null, empty, or hold null or
 non-finite components take no part, nor do rows without an identifier; vectors meet those of their
 own length only. Ties go to the smaller identifier; rows of one identifier are one candidate each, exact
 repeats too, but never their own. An empty table gives no rows. Other columns are ignored.
@@ -21,30 +24,25 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, small_batches, written
+from waymark.llm.common import batches, written
 
-#: Vectors in a shard; points in a leaf; queries that go around at a time.
-SHARD, LEAF, QUERIES = 16384, 128, 4096
+#: Vectors in a shard, points in a leaf; bytes of the queries that go around at a time.
+SHARD, LEAF, QUERY_BYTES = 16384, 128, 64 << 20
+#: One shard in so many is searched in the first round.
+FIRST = 16
 
 
-#: Below that, products of whole numbers over up to 4096 components are exact in doubles.
-FINE = 1 << 20
+def _most(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max()) if x.size else 0.0
 
 
-def _fast(x: np.ndarray) -> np.ndarray:
-    """As doubles, where those hold every product exactly."""
-    return x.astype(np.float64) if x.size == 0 or (np.abs(x).max() <= FINE and x.shape[-1] <= 4096) else x
-
-
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact products: in doubles where both sides allow it, else in 64-bit integers."""
-    if a.dtype == np.float64 and b.dtype == np.int64:
-        b = _fast(b)
-    elif b.dtype == np.float64 and a.dtype == np.int64:
-        a = _fast(a)
-    if a.dtype != b.dtype:
-        a, b = a.astype(np.int64), b.astype(np.int64)
-    return a @ b
+def _dot(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Exact products of whole numbers; ``most`` bounds what a sum's parts can add up to."""
+    if most <= 2.0**53:
+        return a.astype(np.float64) @ b.astype(np.float64)
+    if most <= 2.0**62:
+        return a @ b
+    return a.astype(object) @ b.astype(object)
 
 
 class Tree:
@@ -66,21 +64,33 @@ class Tree:
                 axis, half = int((hi - lo).argmax()), (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, axis], half)]
                 todo += [(a, a + half, node, 0), (a + half, b, node, 1)]
-        self.ids, self.points = ids[order], _fast(points[order])
-        self.low, self.high = _fast(np.array(self.low)), _fast(np.array(self.high))
+        self.ids, self.points = ids[order], points[order]
+        self.low, self.high = np.array(self.low), np.array(self.high)
+        self.most = _most(points) * max(1, points.shape[1])
+        if self.most <= 2.0**53:  # doubles from the start, where any product with small queries may be exact
+            self.points = self.points.astype(np.float64)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The most that each query can score in each node."""
-        return _dot(np.maximum(queries, 0), self.high.T) + _dot(np.minimum(queries, 0), self.low.T)
-
-    def search(self, qid: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """``score, id`` of the best ``k``, best first. ``floor``: a score that k others reach already."""
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
-        heap = [(-int(bounds[0]), 0)]
+        most = self.most * _most(queries)
+        return _dot(np.maximum(queries, 0), self.high.T, most) + _dot(np.minimum(queries, 0), self.low.T, most)
+
+    def scores(self, rows: slice, q: np.ndarray, most: float) -> np.ndarray:
+        points = self.points[rows]
+        if most > 2.0**53 and points.dtype == np.float64:
+            points = points.astype(np.int64)
+        return _dot(points, q, most)
+
+    def search(self, qid: int, q: np.ndarray, bounds: np.ndarray, k: int, best: list[tuple[int, int]], floor: int | None) -> None:
+        """Put what is better into ``best``, a heap of ``score, -id`` with the worst first. ``floor``: a score that k others reach already."""
+        heap, most = [(-int(bounds[0]), 0)], self.most * _most(q)
         while heap:
             bound, node = heapq.heappop(heap)
             bound = -bound
-            if (floor is not None and bound < floor) or (len(best) == k and bound < best[0][0]):
+            least = best[0][0] if len(best) == k else None
+            if floor is not None and (least is None or floor > least):
+                least = floor
+            if least is not None and bound < least:
                 break
             if len(best) == k and bound == best[0][0] and self.least[node] > -best[0][1]:
                 continue
@@ -89,10 +99,9 @@ class Tree:
                     heapq.heappush(heap, (-int(bounds[kid]), kid))
                 continue
             a, b = self.rows[node]
-            scores = _dot(self.points[a:b], q)
+            scores = self.scores(slice(a, b), q, most)
             at = np.nonzero(self.ids[a:b] != qid)[0]
-            if len(best) == k or floor is not None:
-                least = max(best[0][0] if len(best) == k else floor, floor if floor is not None else -(1 << 62))
+            if least is not None:
                 at = at[scores[at] >= least]
             if len(at) > k:
                 at = at[np.lexsort((self.ids[a:b][at], -scores[at]))[:k]]
@@ -102,15 +111,14 @@ class Tree:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id, v``: usable vectors as whole numbers."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
     fine = F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    most = float(2**31 - 1)
-    v = F.transform(x, lambda c: F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c)) * 256).cast("double"))).cast("int"))
+    big = F.lit("a component of floor(256 * x) doesn't fit in 64 bits")
+    v = F.transform(x, lambda c: F.when(F.abs(c * 256) < F.lit(2.0**63), F.floor(c * 256)).otherwise(F.raise_error(big).cast("bigint")))
     return vectors.where(fine).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
 
 
@@ -141,73 +149,75 @@ def _build_batches(rows):
 def build(vectors: DataFrame, shards: int | None = None) -> DataFrame:
     """``dims, tree``: the index, a row for each tree, written to the shared folder. Every row is indexed."""
     n = shards or max(1, -(-vectors.count() // SHARD))
-    return written(vectors.repartition(n, "id").mapInArrow(_build_batches, "dims int, tree binary"), "trees")
+    return written(vectors.repartition(n, "id", F.xxhash64("v")).mapInArrow(_build_batches, "dims int, tree binary"), "trees")
 
 
 def _search_batches(rows, shared, k: int):
+    """Trees of a task, one after another; each query's best so far goes with it."""
     import pyarrow as pa
 
     queries = shared.value
+    best = {dims: [[] for _ in ids] for dims, (ids, _, _) in queries.items()}
     for b in batches(rows):
         for dims, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if dims not in queries:
                 continue
             tree, (ids, q, floors) = pickle.loads(raw.as_py()), queries[dims]
-            out = []
             for a in range(0, len(ids), 256):
                 bounds = tree.bounds(q[a : a + 256])
                 for j in range(a, min(a + 256, len(ids))):
-                    out += [(int(ids[j]), i, s) for s, i in tree.search(int(ids[j]), q[j], bounds[j - a], k, floors.get(int(ids[j])))]
-            if out:
-                qs, i, s = (list(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-
-def _floors(queries: dict, sample: dict, k: int) -> dict:
-    """Kth scores that each query reaches within a sample of rows: what shards may start from."""
-    out = {}
-    for dims, (ids, q) in queries.items():
-        floors = {}
-        if dims in sample:
-            sids, points = sample[dims]
-            tree = Tree(sids, points)
-            for a in range(0, len(ids), 256):
-                bounds = tree.bounds(q[a : a + 256])
-                for j in range(a, min(a + 256, len(ids))):
-                    got = tree.search(int(ids[j]), q[j], bounds[j - a], k, None)
-                    if len(got) == k:
-                        floors[int(ids[j])] = got[-1][0]
-        out[dims] = (ids, q, floors)
-    return out
+                    tree.search(int(ids[j]), q[j], bounds[j - a], k, best[dims][j], floors[j])
+    for dims, (ids, _, _) in queries.items():
+        found = [(j, s, -i) for j, heap in enumerate(best[dims]) for s, i in heap]
+        for a in range(0, len(found), 10_000):
+            at, scores, others = zip(*found[a : a + 10_000], strict=True)
+            if max(scores) >= 1 << 63 or min(scores) < -(1 << 63):
+                raise OverflowError("a score doesn't fit in 64 bits")
+            # the place tells repeated queries apart
+            yield pa.RecordBatch.from_arrays([pa.array(ids[list(at)]), pa.array([dims] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(others, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "dims", "place", "vec_id", "score"])
+
 
+_FOUND = "query_id bigint, dims int, place int, vec_id bigint, score bigint"
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = 2048, shards: int | None = None) -> DataFrame:
+
+def _best(found: DataFrame, k: int, *by: str) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _searched(index: DataFrame, block: list, k: int) -> DataFrame:
+    """What a block of queries finds, in two rounds over the index; at most ``k`` rows a query and task."""
+    spark = index.sparkSession
+    q = {n: (ids, v, [None] * len(ids)) for n, (ids, v) in _by_length([r["id"] for r in block], [np.array(r["v"], np.int64) for r in block]).items()}
+    mark = F.pmod(F.xxhash64(F.md5("tree")), F.lit(FIRST)) == 0
+    run = lambda part: written(part.mapInArrow(partial(_search_batches, shared=spark.sparkContext.broadcast(q), k=k), _FOUND), "found")
+    first = run(index.where(mark))
+    for r in _best(first, k, "dims", "place").where(F.col("rank") == k).select("dims", "place", "score").toLocalIterator():  # a row a query of the block at most
+        q[r["dims"]][2][r["place"]] = r["score"]
+    return _best(first.union(run(index.where(~mark))), k, "query_id", "dims", "place").drop("dims", "place", "rank")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's best among all rows but its own, exactly.
 
     Repeated rows take a rank each, as in the query's SQL; so do those of repeated queries.
 
     ``vectors`` and ``queries`` are ``id, v`` as :func:`quantised` gives them. Queries go around in
-    blocks of ``QUERIES``, so what is broadcast is bounded; each block passes over the index once.
+    blocks of ``query_bytes``, so what the driver holds and broadcasts is bounded; each block passes over the index once.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
     index = build(vectors, shards)
-    taken = vectors.limit(sample_rows).collect()  # any rows will do: floors only save time
-    sample = _by_length([r["id"] for r in taken], [np.array(r["v"]) for r in taken]) if taken else {}
-    found, block = None, []
+    found, block, size = None, [], 0
 
-    def searched(block):
-        q = _by_length([r["id"] for r in block], [np.array(r["v"]) for r in block])
-        shared = spark.sparkContext.broadcast(_floors(q, sample, k))
-        return index.mapInArrow(partial(_search_batches, shared=shared, k=k), "query_id bigint, vec_id bigint, score bigint")
+    def done():
+        nonlocal found, block, size
+        one, block, size = _searched(index, block, k), [], 0
+        found = one if found is None else found.union(one)
 
     for r in queries.toLocalIterator():
         block.append(r)
-        if len(block) == QUERIES:
-            one, block = written(searched(block), "found"), []
-            found = one if found is None else found.union(one)
+        size += 8 * len(r["v"]) + 64
+        if size >= query_bytes:
+            done()
     if block or found is None:
-        one = searched(block)
-        found = one if found is None else found.union(one)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        done()
+    return _best(found, k, "query_id").select("query_id", "rank", "vec_id", "score")

@@ -87,13 +87,14 @@ SQL: dict[str, str] = {
                case when n >= 1000 and q.page_id <> last then 'revisit' else 'response' end as record_type,
                case when n >= 1000 and q.page_id <> last then last end as refers_to
         from q left join w on q.d = w.d""",
+    # 128-bit products, as 64 bits may not hold those that aren't returned
     "op4_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
-                   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+                   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: cast(z[1] as hugeint) * z[2])) as score
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
-        select query_id, rank, vec_id, score from r where rank <= 5""",
+        select query_id, rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
     # shares up to the limits in one pass: sources by limit over weight; then running sums in the digest's order
     "op10_mix": r"""
         with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,

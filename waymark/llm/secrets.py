@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, small_batches
+from waymark.llm.common import batches
 
 #: The patterns of base spans, in order; the group that counts and its least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,7 +127,6 @@ def _scan_batches(rows):
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_assign, n_access, n_hex, base_sha256, spans`` of each row; one pass, no shuffle."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scan_batches, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
@@ -148,7 +147,6 @@ def redacted(text: str | None, mark: str = "[REDACTED]") -> str | None:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in texts; ``n_chars`` follows where there is one. No row goes."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, new_folder, small_batches, written
+from waymark.llm.common import batches, new_folder, written
 
 #: Fixed values of the formats.
 DICT_MAGIC, SKIP_MAGIC, RAW_DICT_MAGIC = 0x184D2A5D, 0x184D2A50, 0xEC30A437
@@ -255,7 +255,6 @@ def _archive_batches(rows):
 
 def write_archives(pages: DataFrame, folder: str) -> None:
     """Archives of all pages in ``folder``, each of about ``ARCHIVE_BYTES`` unpacked."""
-    small_batches(pages.sparkSession)
     made = decided(pages).mapInArrow(_archive_batches, "content binary")
     # the text writer puts a row's bytes down as they are, one row a file, with the line feed that the archive's tail takes
     made.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
