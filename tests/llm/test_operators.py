@@ -627,11 +627,62 @@ def test_linked_parts():
     assert kinds(f"{key} and {weak}") == ["access", "key"]
     assert kinds(f"see {weak} here") == [] and kinds(f"{key}\n\n{weak}") == ["access"] and kinds(f"{key}{' x' * 200} {weak}") == ["access"]
     assert kinds("user = bob, password = hunter22, at https://db.example/x") == ["login", "assign", "endpoint"]
-    assert kinds("user = bob at https://db.example/x") == ["endpoint"] or kinds("user = bob at https://db.example/x") == []
+    assert kinds("user = bob at https://db.example/x") == ["endpoint"]  # the login completes it, and nothing completes the login
+    long = "aB3" * 200
+    assert kinds(f"{key} {long}") == ["access", "key"] and secrets.redacted(f"{key} {long}") == "[REDACTED] [REDACTED]"
     assert kinds("https://db.example/x") == []
     assert secrets.redacted("a token=abcdefgh b") == "a [REDACTED] b" and secrets.redacted(None) is None
 
 
+def plain_linked(text):
+    """Every weak part against every other part, by the scopes as they are worded."""
+    text = text or ""
+    base = secrets.base_spans(text)
+    weak = []
+    for kind, p in secrets.WEAK.items():
+        for m in p.finditer(text):
+            if kind == "key" and not (re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])):
+                continue
+            if kind in ("key", "short_hex") and any(b[0] < m.end() and m.start() < b[1] for b in base):
+                continue
+            weak.append((m.start(), m.end(), kind))
+    breaks = [m.end() for m in secrets.PARAGRAPH.finditer(text)]
+    paragraph = lambda at: sum(c <= at for c in breaks)
+    near = lambda w, x: x[0] <= w[1] + secrets.SCOPE and x[1] >= w[0] - secrets.SCOPE and paragraph(x[0]) == paragraph(w[0])
+    with_part = lambda some, parts: [w for w in some if any(secrets.ROLE[x[2]] in secrets.COMPLETES[w[2]] and near(w, x) for x in parts)]
+    named = [w for w in weak if w[2] in ("login", "endpoint")]
+    keys = with_part([w for w in weak if w not in named], base + named)
+    return sorted(keys + with_part(named, base + named + keys))
+
+
+def test_linked_spans_are_all(spark, sf):
+    """The query's spans, over all documents and over texts made of parts, against every part with every other."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    n = 0
+    for r in QUERIES["op9_secrets"](spark, sf).collect():
+        t = texts[r["doc_id"]]
+        want = sorted(secrets.base_spans(t or "") + plain_linked(t), key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        n += len(plain_linked(t))
+    rng = random.Random(15)
+    bits = ["user = bob ", "password: hunter22 ", "https://db.example/x ", "AKIA" + "A1B2C3D4E5F6G7H8 ", "aB3" * 15 + " ", "0a1b2c3d4e5f6a7b8 ", "f" * 30 + " ", "x " * 60, "\n\n", "word ", "\n \n"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert secrets.linked(t, secrets.base_spans(t)) == plain_linked(t), t
+        n += len(plain_linked(t))
+    assert n > 500
+
+
+def test_long_texts_of_parts():
+    """Time in proportion: megabytes of weak parts with one long run in front of them."""
+    import time
+
+    text = "a1" * 1_000_000 + " " + "AKIA" + "A1B2C3D4E5F6G7H8 " + ("user = bob at https://db.example/x and " + "aB3" * 15 + " then " + "0a1b2c3d4e5f6a7b8 ") * 25_000
+    began = time.time()
+    base, every = secrets.scan(text)
+    assert len(base) == 2 and len(every) > 50_000 and time.time() - began < 20
+
+
 def test_secret_edges(spark):
     got = secrets.scan_documents(odd(spark)).collect()
     assert len(got) == 9 and sum(r["n_assign"] for r in got) == 1

@@ -2,7 +2,8 @@
 
 Three kinds are reported wherever they stand: ``assign``, ``access`` and ``hex``. Weaker parts (a
 login, an endpoint, a key-like token, a short hex run) are reported only where a complementary part
-stands in the same scope: the interval of ``SCOPE`` characters around it, within one paragraph.
+stands in the same scope: the interval of ``SCOPE`` characters around it, within one paragraph. Key-like
+tokens and short hex runs need an identifier there, and count as secrets for others only then.
 
 Null and empty texts have no spans. Texts are scanned whole, whatever their length; repeated rows
 each give a row. An empty table gives no rows. Other columns are ignored by the scan and kept by
@@ -13,9 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +31,11 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Weaker parts, and the kinds that complete each.
+#: Weaker parts, and the kinds that complete each. A key is a whole run, of any length, with all of MIXED in it.
 WEAK = {
     "login": re.compile(r"""\b(?:user(?:name)?|login|client_?id|account_?(?:id|name))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A),
     "endpoint": re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", re.I | re.A),
-    "key": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,60}[0-9])(?=[A-Za-z0-9+/_-]{0,60}[A-Z])(?=[A-Za-z0-9+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{30,100}(?![A-Za-z0-9+/_-])"),
+    "key": re.compile(r"[A-Za-z0-9+/_-]{30,}"),
     "short_hex": re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,22}[0-9])(?=[0-9a-f]{0,22}[a-f])[0-9a-f]{16,23}(?![0-9A-Za-z])"),
 }
 #: Which parts complete which. Access identifiers and logins name, secrets open, endpoints place.
@@ -45,6 +45,7 @@ KINDS = (*BASE, *WEAK)
 #: Characters between two parts of one credential, at most.
 SCOPE = 200
 PARAGRAPH = re.compile(r"\n[\x20\t]*\n")
+MIXED = tuple(map(re.compile, ("[0-9]", "[A-Z]", "[a-z]")))
 #: What texts must hold for each weak pattern to be worth trying.
 HINTS = {"login": ("user", "login", "client", "account"), "endpoint": ("://", "host", "server", "endpoint")}
 
@@ -68,8 +69,27 @@ def _scopes(text: str) -> list[int]:
     return [0, *(m.end() for m in PARAGRAPH.finditer(text))]
 
 
+class _Reach:
+    """Intervals by their starts, and the furthest end so far, anew in each paragraph: what an interval meets in one bisection."""
+
+    def __init__(self, spans: list[Span], cuts: list[int]):
+        self.cuts, self.starts, self.ends, self.paragraphs = cuts, [], [], []
+        for a, b, _ in sorted(spans):
+            p = bisect_right(cuts, a)
+            self.ends.append(max(b, self.ends[-1]) if self.paragraphs and self.paragraphs[-1] == p else b)
+            self.starts.append(a), self.paragraphs.append(p)
+
+    def meets(self, a: int, b: int, at: int, slack: int) -> bool:
+        """Whether an interval of the paragraph that ``at`` is in comes within ``slack`` of ``[a, b)``."""
+        i = bisect_right(self.starts, b + slack) - 1
+        p = bisect_right(self.cuts, at)
+        if i >= 0 and self.paragraphs[i] > p:  # a later paragraph begins within the slack
+            i = bisect_right(self.paragraphs, p) - 1
+        return i >= 0 and self.paragraphs[i] == p and self.ends[i] >= a - slack
+
+
 def linked(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts that have a complementary part in their scope, by an interval join over sorted starts."""
+    """Weak parts that have a complementary part in their scope, by an interval join: a sort and a bisection a part."""
     weak: list[Span] = []
     low = None
     for kind, pattern in WEAK.items():
@@ -79,29 +99,23 @@ def linked(text: str, base: list[Span]) -> list[Span]:
                 continue
         elif not any(ROLE[s[2]] == "id" for s in base) and not any(s[2] == "login" for s in weak):
             continue  # keys are completed by identifiers alone
-        weak += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+        for m in pattern.finditer(text):
+            if kind != "key" or all(p.search(text, m.start(), m.end()) for p in MIXED):
+                weak.append((m.start(), m.end(), kind))
     if not weak:
         return []
-    weak = [w for w in weak if w[2] in ("login", "endpoint") or not any(b[0] < w[1] and w[0] < b[1] for b in _around(base, w))]
-    parts = sorted(base + weak)
-    cuts, starts = _scopes(text), [p[0] for p in parts]
-    longest = max(p[1] - p[0] for p in parts)
-    paragraph = [bisect_left(cuts, p[0] + 1) for p in parts]
-    out = []
-    for i, (a, b, kind) in enumerate(parts):
-        if kind in BASE:
-            continue
-        j = bisect_left(starts, a - SCOPE - longest)
-        while j < len(parts) and parts[j][0] <= b + SCOPE:
-            if j != i and paragraph[j] == paragraph[i] and parts[j][1] >= a - SCOPE and ROLE[parts[j][2]] in COMPLETES[kind]:
-                out.append((a, b, kind))
-                break
-            j += 1
-    return out
+    whole = _Reach(base, [])
+    # less than one character between: they overlap
+    weak = [w for w in weak if w[2] in ("login", "endpoint") or not whole.meets(w[0] + 1, w[1] - 1, 0, 0)]
+    cuts = [m.end() for m in PARAGRAPH.finditer(text)]
 
+    def completed(some: list[Span], parts: list[Span]) -> list[Span]:
+        reach = {role: _Reach([p for p in parts if ROLE[p[2]] == role], cuts) for role in set(ROLE.values())}
+        return [w for w in some if any(reach[role].meets(w[0], w[1], w[0], SCOPE) for role in COMPLETES[w[2]])]
 
-def _around(base: list[Span], w: Span) -> list[Span]:
-    return [b for b in base if b[0] < w[1] and w[0] < b[1]]
+    named = [w for w in weak if w[2] in ("login", "endpoint")]
+    keys = completed([w for w in weak if w[2] not in ("login", "endpoint")], base + named)
+    return sorted(keys + completed(named, base + named + keys))  # a key that nothing names opens nothing
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -148,9 +162,11 @@ def redacted(text: str | None, mark: str = "[REDACTED]") -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in texts; ``n_chars`` follows where there is one. No row goes."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: redacted(x) if isinstance(x, str) else None)
+    @F.arrow_udf("string")
+    def clean(texts):
+        import pyarrow as pa
+
+        return pa.array([redacted(x.as_py()) for x in texts], pa.string())
 
     out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
     if "n_chars" in docs.columns:
