@@ -727,8 +727,8 @@ def test_mix_query(spark, sf):
     mixes_right(rows, [r["text"] for r in docs.collect()])
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
     got = QUERIES["op10_mix"](spark, sf)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and got.count() == len(rows)
-    assert sorted(map(tuple, got.collect())) == sorted(duck(sf, SQL["op10_mix"]))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "position"] and got.count() == len(rows)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, duck(sf, SQL["op10_mix"])))
 
 
 def test_mix_caps(spark):
@@ -742,17 +742,44 @@ def test_mix_caps(spark):
 
 def test_positions(spark, sf):
     """Positions invert the integral of the schedule, and rise with what is taken."""
-    for a, b in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5), (0.0, 2.0)):
-        shares = [0.0, 0.1, 0.5, 0.9, 1.0]
-        df = spark.createDataFrame([(x,) for x in shares], "x double").select("x", mixing.position(F.col("x"), F.lit(a), F.lit(b)).alias("t"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for knots in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5), (0.0, 2.0), (1.0, 3.0, 0.0), (0.0, 0.0, 1.0, 1.0), (2.0, 0.0, 0.0, 5.0)):
+        weight = lambda t, k=knots: np.interp(t, np.linspace(0, 1, len(k)), k)
+        grid = np.linspace(0, 1, 200_001)
+        integral = np.concatenate([[0], np.cumsum((weight(grid[1:]) + weight(grid[:-1])) / 2)]) / 200_000
+        df = spark.createDataFrame([(x,) for x in shares], "x double").select("x", mixing.position(F.col("x"), knots).alias("t"))
         for r in df.collect():
-            if a or r["x"]:
-                assert math.isclose((a * r["t"] + (b - a) * r["t"] ** 2 / 2) / ((a + b) / 2), r["x"], abs_tol=1e-9)
+            assert 0 <= r["t"] <= 1 and math.isclose(np.interp(r["t"], grid, integral) / integral[-1], r["x"], abs_tol=1e-6), (knots, r)
+    for bad in ((1.0,), (0.0, 0.0), (-1.0, 2.0)):
+        with pytest.raises(ValueError):
+            mixing.position(F.lit(0.5), bad)
     order = mixing.training_order(mixing.mix(table(spark, sf, "documents"))).collect()
     at = [r["position"] for r in order]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
 
 
+def test_mixed_corpus(spark, sf):
+    """Texts of the mix: each document as often and as far as the mix takes it, in the order of positions."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    for docs in (table(spark, sf, "documents"), odd(spark), none(spark)):
+        docs = docs.withColumn("words", F.lit("clash"))
+        got = [r for part in mixing.corpus(docs).rdd.glom().collect() for r in part]
+        at = [(r["position"],) for r in got]
+        assert at == sorted(at)
+        kept, plan = {}, {}
+        for r in mixing.mix(docs).collect():
+            for c in r["copies"]:
+                plan.setdefault(str(r["doc_id"]), []).append((c["epoch"], c["words"], c["position"]))
+        texts = {}
+        for r in docs.collect():
+            texts.setdefault(str(r["doc_id"]), []).append(r["text"])
+        for r in got:
+            kept.setdefault(str(r["doc_id"]), []).append((r["epoch"], r["words"], r["position"]))
+            assert len(words(r["text"])) == r["words"] and any((t or "").startswith(r["text"]) for t in texts[str(r["doc_id"])])
+            assert any(r["text"] == t for t in texts[str(r["doc_id"])]) or r["n_chars"] == len(r["text"])
+        assert {k: sorted(v) for k, v in kept.items()} == {k: sorted(v) for k, v in plan.items()}
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
@@ -761,13 +788,72 @@ def test_pipeline(spark):
     docs = table(spark, d, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "leaks", "secrets", "mix"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
         docs = stage(spark, docs, d)
         docs.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/stage-{_}")
         docs = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/stage-{_}")
         assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
+        if _ == "near_copies":  # exact components of five-word sets, each text with each
+            rows = before.collect()
+            assert {r["doc_id"] for r in docs.collect()} == kept_of_near_copies(rows)
+        if _ == "leaks":
+            gone = {r["doc_id"] for r in before.collect()} - {r["doc_id"] for r in docs.collect()}
+            items = [spaced(b["text"]) for b in table(spark, d, "benchmark").collect()]
+            exact = {i for i, t in ((r["doc_id"], spaced(r["text"])) for r in before.collect()) if any(x in t for x in items)}
+            assert exact <= gone and len(gone) <= len(exact) + 5
     rows = docs.collect()
     assert 700 < len(rows) < 1000 and len({r["text"] for r in rows}) == len(rows)
     assert not any(plain_base(r["text"]) for r in rows)
-    order = corpus_pipeline.run(spark, d).collect()
-    assert {r["doc_id"] for r in order} <= {r["doc_id"] for r in rows}
-    assert all(r["words"] > 0 for r in order)
+    order = corpus_pipeline.run(spark, d).withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id()).collect()
+    order = sorted(order, key=lambda r: (r["file"].rpartition("/part-")[2], r["row"]))  # a file's rows keep their order
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert {r["doc_id"] for r in order} <= set(texts) and sorted(r["position"] for r in order) == [r["position"] for r in order]
+    assert all(r["words"] > 0 and texts[r["doc_id"]].startswith(r["text"]) and not plain_base(r["text"]) for r in order)
+    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) == r["words"] for r in order)
+
+
+def spaced(t):
+    """Words between spaces, for the search of whole items."""
+    return " " + " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + " "
+
+
+def kept_of_near_copies(rows):
+    sets = {}
+    for r in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower())
+        if w and r["doc_id"] is not None:
+            sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    shared = {}
+    for some in by.values():
+        for a, b in itertools.combinations(some[:200], 2):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {r["doc_id"] for r in rows if r["doc_id"] not in sets or find(r["doc_id"]) == r["doc_id"]}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeats, clashing columns and empty tables through all stages."""
+    for name, docs in (("odd", odd(spark)), ("none", none(spark))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int").limit(3 if name == "odd" else 0).write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "x y z q r s t u v w"), (2, None)], "item_id bigint, text string").limit(2 if name == "odd" else 0).write.parquet(f"{d}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, d)
+        got = rows.collect()
+        assert rows.columns == [*docs.columns, "position", "epoch", "words"]
+        assert {str(r["doc_id"]) for r in got} <= {"1", "4", "6", "None"} and (got or name == "none")
+        assert not any("token = abcdef1" in r["text"] or "ſecret=abcdefgh" == r["text"] for r in got)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, cotrain, decontam, kdtree, mixing, secrets, simhash, toxicity, urls, warc
+from waymark.llm import chat, cotrain, decontam, kdtree, mixing, pipeline, secrets, simhash, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -69,12 +68,13 @@ def op9_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, d: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.mix(_table(spark, d, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc, "op2_cotraining": op2_cotraining, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_chat": op5_chat, "op6_urls": op6_urls,
-    "op7_toxicity": op7_toxicity, "op8_decontam": op8_decontam, "op9_secrets": op9_secrets, "op10_mix": op10_mix, "pipeline": corpus_pipeline.run,
+    "op7_toxicity": op7_toxicity, "op8_decontam": op8_decontam, "op9_secrets": op9_secrets, "op10_mix": op10_mix, "pipeline": pipeline.run,
 }
 
 SQL: dict[str, str] = {
@@ -95,22 +95,25 @@ SQL: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
-    # shares up to the limits in one pass: sources by limit over weight; then running sums in the digest's order
+    # shares up to the limits in one pass: sources by limit over weight; then running sums in the digest's order; then the schedule's inverse
     "op10_mix": r"""
         with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
                           cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':mix'), 1, 15) as bigint) as at from documents),
         s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
-        w as (select *, 3.0::double * source_size as lim, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as weight from s),
+        w as (select *, 3.0::double * source_size as lim, (row_number() over (order by source nulls last) - 1) % 3 as place, cast(1 + place as double) as weight from s),
         l as (select *, (cast(sum(source_size) over () as double) - coalesce(sum(lim) over (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
                         / sum(weight) over (order by lim / weight, source nulls last rows between current row and unbounded following) as level from w),
         f as (select (select level from l where level * weight <= lim order by lim / weight, source nulls last limit 1) as final),
-        t as (select source, source_size, least(lim, coalesce(final * weight, lim)) as target from l, f),
-        b as (select d.doc_id, d.size, t.source_size, t.target, cast(round(t.target) as bigint) as whole,
+        t as (select source, source_size, place, least(lim, coalesce(final * weight, lim)) as target from l, f),
+        b as (select d.doc_id, d.size, t.source_size, t.target, t.place, cast(round(t.target) as bigint) as whole,
                      coalesce(sum(d.size) over (partition by d.source order by d.at, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0) as begins
-              from d join t on d.source is not distinct from t.source)
-        select doc_id, size, source_size, target,
-               cast(greatest(0, least(size, whole - begins)) + greatest(0, least(size, whole - begins - source_size)) + greatest(0, least(size, whole - begins - 2 * source_size)) as bigint) as taken
-        from b""",
+              from d join t on d.source is not distinct from t.source),
+        c as (select *, cast(greatest(0, least(size, whole - begins)) + greatest(0, least(size, whole - begins - source_size)) + greatest(0, least(size, whole - begins - 2 * source_size)) as bigint) as taken,
+                     least(1.0::double, begins / target) as share, 1.5::double - 0.5::double * place as p, 0.5::double + 0.5::double * place as q from b),
+        e as (select *, share * ((p + q) / 2.0::double) as area from c)
+        select doc_id, size, source_size, target, taken,
+               case when taken > 0 then round(case when share <= 0 then 0.0::double else least(1.0::double, 2 * area / (p + sqrt(greatest(p * p + 2 * (q - p) * area, 0)))) end, 9) end as position
+        from e""",
 }
 
 
@@ -153,5 +156,5 @@ def _urls_sql() -> str:
 
 
 SQL["op6_urls"] = _urls_sql()
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    SQL["pipeline"] = pipeline.ORACLE_SQL
