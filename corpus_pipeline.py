@@ -1,57 +1,5 @@
-"""A corpus through five operators: toxicity, near duplicates, leaks, secrets, and the mix."""
+"""The corpus pipeline: STAGES in order, run() over a folder's tables, and ORACLE_SQL for its rows."""
 
-from __future__ import annotations
+from waymark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from waymark.llm import decontam, mixing, secrets, simhash, toxicity
-from waymark.llm.common import new_folder
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def no_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold of their language."""
-    return toxicity.reject(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-
-
-def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
-    return simhash.keep_first(docs, simhash.SIMILAR)
-
-
-def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in whose text no benchmark item is found."""
-    return decontam.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
-
-
-def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts."""
-    return secrets.redact(docs)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The order of training: a row each time that a document is taken, at its position."""
-    return mixing.training_order(mixing.mix(docs))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", no_toxic), ("near_copies", no_near_copies), ("leaks", no_leaks), ("secrets", no_secrets), ("mix", mixed),
-]
-
-#: Fitted models and fingerprints have no SQL form; tests hold the stages against brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
