@@ -411,7 +411,57 @@ def test_chat_query(spark, sf):
     assert {r["conv_id"]: r["n_turns"] for r in got} == turns
     assert np.mean([r["n_right"] for r in got]) > 900
     assert np.mean([r["n_found"] == r["n_turns"] for r in got]) > 0.75
-    assert all(r["rendered"].count("<|end|>") == r["n_found"] for r in got)
+    assert all(r["rendered"].count("<|end|>") == r["n_found"] and r["part"] == 0 for r in got)
+    # each conversation by a plain Viterbi over the same model
+    turns_ = table(spark, sf, "conversations")
+    model = chat.train(turns_)
+    assert {r["conv_id"]: (r["roles"], r["rendered"]) for r in got} == plain_chat(turns_.collect(), model)
+
+
+def plain_chat(rows, model):
+    """Conversations one by one: all lines, a table of best scores, and the path back; in pure Python."""
+    out = {}
+    for conv in {r["conv_id"] for r in rows}:
+        turns = sorted({(r["turn"], r["role"], r["text"]) for r in rows if r["conv_id"] == conv}, key=lambda x: (x[0] is not None, x[0] or 0, x[2] is not None, (x[2] or "").encode(), x[1] is not None, x[1] or ""))
+        lines = [x for t, r, text in turns for x in chat.spoken(conv, t, r, text)]
+        emit = [[sum(int(s[z, v]) for s, v in zip(model.shows, chat.features(x, i == 0), strict=True)) for z in range(6)] for i, x in enumerate(lines)]
+        best, back = [int(model.first[z]) + emit[0][z] for z in range(6)], []
+        for e in emit[1:]:
+            ways = [[best[a] + int(model.moves[a, z]) for a in range(6)] for z in range(6)]
+            back.append([w.index(max(w)) for w in ways])
+            best = [max(w) + e[z] for z, w in enumerate(ways)]
+        path = [best.index(max(best))]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path = path[::-1]
+        found = []
+        for i, (x, s) in enumerate(zip(lines, path, strict=True)):
+            if s < 3 or i == 0:
+                m = chat.MARKER.match(x)
+                found.append([chat.ROLES[s % 3], [x[m.end() :] if m else x]])
+            else:
+                found[-1][1].append(x)
+        text = "".join(f"<|{r}|>\n" + "\n".join(t).replace("<|", "< |").strip() + "\n<|end|>\n" for r, t in found)
+        out[conv] = ([r for r, _ in found], text)
+    return out
+
+
+def test_long_conversations(spark):
+    """Shared by many tasks, chunk by chunk: the same roles and the same text as in one piece, and one row where it fits."""
+    rng = random.Random(16)
+    say = lambda: "\n".join(rng.choice(("Why is that?", "it is so.", "And then", "Q: what", "a: that", "no marker here, but long " * 3, "<|user|> x")) for _ in range(rng.randrange(1, 4)))
+    rows = [(c, None if c == 2 else i // 3 if c == 3 else i, rng.choice(("user", "assistant", "system", "robot", None)), f"{i} {say()}") for c, n in ((1, 10_000), (2, 700), (3, 900), (4, 3), (None, 500)) for i in range(n)]
+    df = spark.createDataFrame(rows + rows[:50], "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    model = chat.train(df)
+    want = plain_chat(df.collect(), model)
+    whole = chat.formatted(df, model).collect()
+    assert {r["conv_id"]: (r["roles"], r["rendered"]) for r in whole} == want and len(whole) == 5
+    parts = chat.formatted(df, model, long_turns=100, chunk_turns=37, chunk_chars=3000).collect()
+    assert len(parts) > 300 and sum(r["n_turns"] for r in parts) == len(rows)
+    for conv, (roles, text) in want.items():
+        own = sorted((r for r in parts if r["conv_id"] == conv), key=lambda r: r["part"])
+        assert [r["part"] for r in own] == list(range(len(own))) and (len(own) > 1) == (conv != 4)
+        assert [x for r in own for x in r["roles"]] == roles and "".join(r["rendered"] for r in own) == text
 
 
 def test_chat_parse():
@@ -433,9 +483,9 @@ def test_viterbi_is_best():
 
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (None, 3, "robot", ""), (2, 1, "assistant", "x\n" * 5000)] + [(3, i, "user" if i % 2 == 0 else "assistant", f"t{i}.") for i in range(200)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"block": F.lit("b"), "roles": F.lit("c")})
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"part": F.lit("b"), "roles": F.lit("c")})
     got = chat.formatted(df).collect()
-    assert sorted((str(r["conv_id"]), r["block"], r["n_turns"]) for r in got) == [("1", 0, 2), ("2", 0, 1), ("3", 0, 64), ("3", 1, 64), ("3", 2, 64), ("3", 3, 8), ("None", 0, 1)]
+    assert sorted((str(r["conv_id"]), r["part"], r["n_turns"]) for r in got) == [("1", 0, 2), ("2", 0, 1), ("3", 0, 200), ("None", 0, 1)]
     assert chat.formatted(df.limit(0)).count() == 0
 
 
