@@ -599,29 +599,71 @@ def test_nearest_is_exact():
         assert got[0] == min(row)
 
 
-def test_leak_recall():
-    """Items with up to a fifth of their words changed, in random texts: at least nine tenths are found, none else."""
+def changed(w, n, vocab, rng):
+    w = list(w)
+    for _ in range(n):
+        p, op = rng.randrange(len(w)), rng.random()
+        w[p : p + 1] = [rng.choice(vocab)] if op < 0.6 else [] if op < 0.8 and len(w) > 1 else [w[p], rng.choice(vocab)]
+    return w
+
+
+def test_windows_are_item_sized():
+    assert [decontam.window(n) for n in (1, 5, 11)] == [(1, True), (5, True), (11, True)]
+    assert all(0.64 * n <= decontam.window(n)[0] <= n - 3 for n in range(12, 3000))
+
+
+@pytest.mark.parametrize("lengths", [(1, 60), (5, 6), (24, 26), (100, 101), (400, 401)])
+def test_leak_recall(lengths):
+    """Items with up to a fifth of their words changed, in random texts: at least nine tenths of each length are found, none else."""
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(900)]
-    items = [" ".join(rng.choices(vocab, k=n)) for n in rng.choices(range(1, 60), k=150)]
-    index = decontam.Index(list(range(150)), decontam._tokens(items), 0.2).build()
+    count = 150 if lengths[0] < 100 else 50
+    items = [" ".join(rng.choices(vocab, k=n)) for n in rng.choices(range(*lengths), k=count)]
+    index = decontam.Index(list(range(count)), decontam._tokens(items), 0.2).build()
+    assert all(x["recall"] >= 0.95 for x in index.sizes.values())
     for share in (0, 0.1, 0.2):
         texts = []
         for it in items:
             w = it.split()
-            for _ in range(int(share * len(w))):
-                p, op = rng.randrange(len(w)), rng.random()
-                w[p : p + 1] = [rng.choice(vocab)] if op < 0.6 else [] if op < 0.8 and len(w) > 1 else [w[p], rng.choice(vocab)]
-            texts.append(" ".join(rng.choices(vocab, k=rng.randrange(40)) + w + rng.choices(vocab, k=20)))
+            texts.append(" ".join(rng.choices(vocab, k=rng.randrange(40)) + changed(w, int(share * len(w)), vocab, rng) + rng.choices(vocab, k=20)))
         tokens = decontam._tokens(texts)
         got = index.find(np.concatenate(tokens), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]))
         want = {(i, i): decontam.nearest(index.words[i], t, int(0.2 * len(index.words[i]))) for i, t in enumerate(tokens)}
         want = {k for k, v in want.items() if v}
         found = {(t, i) for t, i, *_ in got}
+        print("recall", lengths, share, len(found & want) / len(want))
         assert len(found & want) >= (0.9 if share else 1.0) * len(want)
         assert all(decontam.nearest(index.words[i], tokens[t], d)[0] <= d for t, i, d, _, _ in got)
 
 
+def test_leak_query_edits(spark, sf, tmp_path):
+    """The query over documents with edited items put into them, against the exact distance of each item in each text."""
+    rng = random.Random(17)
+    docs = [r.asDict() for r in table(spark, sf, "documents").collect()]
+    items = table(spark, sf, "benchmark").collect()
+    vocab = sorted({w for r in docs for w in (r["text"] or "").split()[:20]})
+    for r in docs[::3]:
+        it = rng.choice(items)["text"].split()
+        at = rng.randrange(len((r["text"] or "").split()) + 1)
+        w = (r["text"] or "").split()
+        r["text"] = " ".join(w[:at] + changed(it, rng.randrange(int(0.25 * len(it)) + 1), vocab, rng) + w[at:])
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op8_decontam"](spark, str(tmp_path)).collect()}
+    words = {r["item_id"]: w for r, w in zip(items, decontam._tokens([r["text"] for r in items]), strict=True)}
+    want = {}
+    for r, t in zip(docs, decontam._tokens([r["text"] for r in docs]), strict=True):
+        kinds = set(t.tolist())
+        for i, w in words.items():
+            if sum(x in kinds for x in w.tolist()) >= 0.8 * len(w):
+                d = decontam.nearest(w, t, int(0.2 * len(w)))
+                if d:
+                    want[r["doc_id"], i] = d[0]
+    print("query recall", len(set(got) & set(want)) / len(want), "of", len(want))
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and all(got[k] >= want[k] for k in got)
+    assert sum(got[k] > want[k] for k in got) <= 0.02 * len(got) and all(k in got for k, d in want.items() if d == 0)
+
+
 def test_leak_edges(spark, sf):
     bench = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (None, "x y"), (4, "token")], "item_id bigint, text string").withColumn("id", F.lit(0))
     got = {(r["id"], r["item_id"]) for r in decontam.leaks(odd(spark), bench).collect()}
