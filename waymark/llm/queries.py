@@ -22,8 +22,7 @@ def op1_warc(spark: SparkSession, d: str) -> DataFrame:
 
 def op2_cotraining(spark: SparkSession, d: str) -> DataFrame:
     """Quality of every document; ``keep`` from a score of one half."""
-    docs = _table(spark, d, "documents")
-    s = cotrain.score(docs, cotrain.train(docs, _table(spark, d, "labels")))
+    s = cotrain.scored(_table(spark, d, "documents"), _table(spark, d, "labels"))
     return s.select(F.col("id").alias("doc_id"), "score", "text_score", "meta_score", (F.col("score") >= cotrain.KEEP).alias("keep"))
 
 
