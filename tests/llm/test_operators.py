@@ -550,6 +550,7 @@ def test_url_sql(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op6_urls"](spark, d).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck(d, SQL["op6_urls"])))
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in got)  # the tree decides pages
 
 
 def test_url_tree(spark):
@@ -568,6 +569,19 @@ def test_url_tree(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_url_similar_branches(spark):
+    """Branches without labels come under a labelled template where their paths go on alike, and not where they don't."""
+    rules = (urls.Rule("block", "h.com/en/"), urls.Rule("allow", "g.com/en/"))
+    rows = [f"http://{h}.com/{lang}/{i}.html" for h in "hg" for lang in ("en", "de", "fr") for i in range(100, 140)]
+    rows += [f"http://h.com/about/people/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}/cv" for i in range(60)]
+    rows += [f"http://few.com/{lang}/{i}.html" for lang in ("en", "de") for i in range(100, 102)] + [f"http://many.com/{'en' if i < 3 else 'de'}/{i}.html" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    got = {rows[r["page_id"]]: r["verdict"] for r in urls.judged(df, (*rules, urls.Rule("block", "few.com/en/"), urls.Rule("block", "many.com/en/"))).collect()}
+    verdicts = lambda part: {v for u, v in got.items() if part in u}
+    assert verdicts("h.com/de/") == verdicts("h.com/fr/") == {"block"} and verdicts("h.com/about/") == {"allow"}
+    assert verdicts("g.com/") == {"allow"} and verdicts("few.com/de/") == {"allow"} and verdicts("many.com/de/") == {"allow"}
+
+
 def test_url_depth(spark):
     """Paths that part below any fixed level have templates of their own, below long runs in common too."""
     word = lambda i: "".join(chr(97 + int(c)) for c in str(100 + i))

@@ -123,7 +123,8 @@ def _urls_sql() -> str:
         what: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'" for r in rules) + " end"
         for what in ("pattern", "verdict")
     }
-    smoothed = f"({{}} + {urls.PRIOR * urls.NEUTRAL}::double) / ({{}} + {urls.PRIOR}::double)"
+    weak = f"({urls.PRIOR}::double + {urls.UNTOLD}::double * ({{pages}} - {{known}}))"
+    smoothed = f"({{bad}} + {urls.NEUTRAL}::double * {weak}) / ({{known}} + {weak})"
     out = [rf"""
         with u as materialized (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
         h as materialized (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
@@ -137,16 +138,23 @@ def _urls_sql() -> str:
         p as materialized (select page_id, host, path, rule, told, case when len(every) > {urls.DEPTH} then list_append(every[1:{urls.DEPTH - 1}], '{{*}}') else every end as segs from k),
         at0 as materialized (select host, segs, count(*) as n, count(told) as known, count(*) filter (told = 'block') as bad, '' as template, {urls.NEUTRAL}::double as share from p group by host, segs)"""]
     for i in range(urls.DEPTH):
-        own, pooled = "bad / greatest(known, 1)::double", smoothed.format("all_bad", "all_known")
+        own, pooled = "bad / greatest(known, 1)::double", smoothed.format(bad="all_bad", known="all_known", pages="all_known")
         out.append(f"""
-        s{i} as materialized (select *, coalesce(segs[{i + 1}], '') as seg from at{i}),
+        s{i} as materialized (select *, coalesce(segs[{i + 1}], '') as seg, array_to_string(list_transform(segs[{i + 2}:], lambda x: case when starts_with(x, '{{') then x else 'w' end), '/') as shape from at{i}),
+        z{i} as materialized (select *, sum(c) over (partition by host, template, seg) as nb, sum(k) over (partition by host, template, seg) > 0 as told
+            from (select host, template, seg, shape, sum(n) as c, sum(known) as k from s{i} where seg <> '' group by all)),
+        y{i} as materialized (select host, template, shape, sum(c) as ca, coalesce(sum(c) filter (told), 0) as ct from z{i} group by all),
+        x{i} as materialized (select host, template, sum(c) as ga, coalesce(sum(c) filter (told), 0) as gt from z{i} group by all),
+        w{i} as materialized (select host, template, seg, sum(greatest(0::double, c / nb::double - case when gt > 0 then ct / gt::double else ca / ga::double end))
+                <= {urls.BOUND}::double * (1 / sqrt(max(nb)) + 1 / sqrt(max(case when gt > 0 then gt else ga end))) as shaped
+            from z{i} join y{i} using (host, template, shape) join x{i} using (host, template) group by host, template, seg),
         b{i} as materialized (select host, template, seg, sum(n) as n, sum(known) as known, sum(bad) as bad from s{i} group by all),
         n{i} as materialized (select host, template, count(*) as vals, sum(n) as pages, sum(known) as all_known, sum(bad) as all_bad from b{i} group by all),
-        r{i} as materialized (select b.*, vals, pages, {pooled} as pooled, {own} as own from b{i} b join n{i} using (host, template)),
-        c{i} as materialized (select host, template, seg, known, bad, case when seg = '' then ''
+        r{i} as materialized (select b.*, vals, pages, {pooled} as pooled, {own} as own, shaped from b{i} b join n{i} using (host, template) left join w{i} using (host, template, seg)),
+        c{i} as materialized (select host, template, seg, n, known, bad, case when seg = '' then ''
             when vals >= {urls.VALUES} and vals * {urls.SPREAD} >= pages and not starts_with(seg, '{{') then '{{*}}'
-            when known > 0 and abs(own - pooled) <= {urls.ERRORS}::double * sqrt(greatest(pooled * (1 - pooled), 0.01::double) / greatest(known, 1)::double) then '{{~}}' else seg end as name from r{i}),
-        m{i} as materialized (select host, template, name, {smoothed.format("sum(bad)", "sum(known)")} as down from c{i} group by host, template, name),
+            when shaped and (known = 0 or abs(own - pooled) <= {urls.ERRORS}::double * sqrt(greatest(pooled * (1 - pooled), 0.01::double) / greatest(known, 1)::double)) then '{{~}}' else seg end as name from r{i}),
+        m{i} as materialized (select host, template, name, {smoothed.format(bad="sum(bad)", known="sum(known)", pages="sum(n)")} as down from c{i} group by host, template, name),
         at{i + 1} as materialized (select host, segs, n, s.known, s.bad, case when name = '' then template else template || '/' || name end as template, case when name = '' then share else down end as share
             from s{i} s join (select host, template, seg, name, down from c{i} join m{i} using (host, template, name)) using (host, template, seg))""")
     return ",".join(out) + f"""

@@ -3,9 +3,12 @@
 A rule is a host and the start of a path; it fits the host and its subdomains, and the longest wins.
 URLs with a rule are the labelled ones. For the others, paths become templates segment by segment:
 numbers, hexadecimal runs and long mixed names are wildcards at once; at each level of a host's
-tree, a branch whose values are nearly as many as its pages is one wildcard, and labelled sibling
-branches whose blocked shares don't differ significantly from their parent's are merged. A template
-is rejected where its blocked share, smoothed towards one half, is high; without labels it is not.
+tree, a branch whose values are nearly as many as its pages is one wildcard, and sibling branches that are
+statistically similar are merged: what follows in their paths has the shapes that it has in the node's labelled
+branches, by Hoeffding's bound on the distance of two samples, and the blocked share of those with labels is not
+significantly another. So branches without labels can come under a template that has some. A template is
+rejected where its blocked share is high, smoothed towards one half by a few pages, and by part of those
+without a label, so that few labels say little about many pages; without any label it is not.
 
 The tree goes as deep as paths do; runs of segments without a branch are one step, so the number of
 passes is that of the levels at which paths part. Only counts of (host, template) move between
@@ -18,10 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import new_folder, written
+from waymark.llm.common import dropped, new_folder, written
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,8 @@ DEPTH = 5
 VALUES, SPREAD = 20, 4
 #: Sibling branches merge within so many standard errors; pages that the prior share counts for; that share; share that rejects.
 ERRORS, PRIOR, NEUTRAL, REJECT = 2.0, 4.0, 0.5, 0.7
+#: Part of a page without a label that counts for the prior share; factor of Hoeffding's bound at one in twenty: sqrt(ln(2 / 0.05) / 2).
+UNTOLD, BOUND = 0.2, 1.3581015157406195
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -95,21 +100,23 @@ def tree(labelled: DataFrame) -> DataFrame:
     at = written(leaves.withColumns({"template": F.lit(""), "share": F.lit(NEUTRAL), "rest": F.col("segs")}), "leaves")
     ended, path = at.select("host", "segs", "template", "share"), new_folder(spark, "ended")
 
-    def smoothed(bad, known):
-        return (F.col(bad) + F.lit(PRIOR * NEUTRAL)) / (F.col(known) + F.lit(PRIOR))
+    def smoothed(bad, known, pages):
+        weak = F.lit(PRIOR) + F.lit(UNTOLD) * (F.col(pages) - F.col(known))
+        return (F.col(bad) + F.lit(NEUTRAL) * weak) / (F.col(known) + weak)
 
     def alike(bad, known, pooled):
         error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col(known), F.lit(1)))
         return (F.col(known) == 0) | (F.abs(F.col(bad) / F.greatest(F.col(known), F.lit(1)) - pooled) <= F.lit(ERRORS) * error)
 
-    pooled = smoothed("all_bad", "all_known")
+    pooled = smoothed("all_bad", "all_known", "all_known")  # of labels alone
     ended.limit(0).write.parquet(path)
+    done = [at]  # tables that the next step still reads
     while not at.isEmpty():
         # what all paths of a node begin with: what the least and the greatest have in common
-        run = at.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+        run = at.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("pages"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
         parted = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
-        run = run.withColumns({"common": F.when(parted == 0, F.size("low")).otherwise(parted - 1).cast("int"), "down": pooled})
-        merges = alike("all_bad", "all_known", pooled) & (F.col("all_known") > 0)
+        run = run.withColumns({"common": F.when(parted == 0, F.size("low")).otherwise(parted - 1).cast("int"), "down": smoothed("all_bad", "all_known", "pages")})
+        merges = alike("all_bad", "all_known", pooled)
         names = F.transform(F.slice("low", F.lit(1), F.col("common")), lambda x: F.concat(F.lit("/"), F.when(F.col("merges"), "{~}").otherwise(x)))
         run = run.withColumn("merges", merges).withColumn("more", F.concat_ws("", names))
         run = written(run.select("host", "template", "common", "more", "down", (F.col("low") == F.col("high")).alias("ends")), "runs")
@@ -117,22 +124,39 @@ def tree(labelled: DataFrame) -> DataFrame:
         rest = F.slice("rest", F.col("common") + 1, F.greatest(F.size("rest"), F.lit(1)))
         at = at.join(run, ["host", "template"]).select("host", "segs", "n", "known", "bad", F.concat("template", "more").alias("template"), share.alias("share"), rest.alias("rest"), "ends")
         at = written(at, "runs-taken")
+        dropped(*done)
+        done = [at]
         at.where("ends").select(*ended.columns).write.mode("append").parquet(path)
         at = at.where("not ends").drop("ends").withColumn("seg", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        at = at.withColumn("shape", F.array_join(F.transform(F.slice("rest", F.lit(2), F.size("rest")), lambda x: F.when(x.startswith("{"), x).otherwise("w")), "/"))
         branch = at.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
         branch = written(branch, "branches")
         node = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
         node = written(node, "nodes")
-        b = branch.join(node, ["host", "template"])
+        # distance of a branch's shapes from those of the node's labelled branches, or of all where none is: what it has of some above their share
+        shapes = at.where("seg <> ''").groupBy("host", "template", "seg", "shape").agg(F.sum("n").alias("c"), F.sum("known").alias("k"))
+        own, labelled_c = Window.partitionBy("host", "template", "seg"), F.sum(F.when(F.col("told"), F.col("c")).otherwise(0))
+        shapes = written(shapes.withColumns({"nb": F.sum("c").over(own), "told": F.sum("k").over(own) > 0}).drop("k"), "shapes")
+        common = shapes.groupBy("host", "template", "shape").agg(F.sum("c").alias("ca"), labelled_c.alias("ct"))
+        going = shapes.groupBy("host", "template").agg(F.sum("c").alias("ga"), labelled_c.alias("gt"))
+        far = shapes.join(common, ["host", "template", "shape"]).join(going, ["host", "template"])
+        some = F.col("gt") > 0
+        base = F.when(some, F.col("gt")).otherwise(F.col("ga"))
+        excess = F.greatest(F.lit(0.0), F.col("c") / F.col("nb") - F.when(some, F.col("ct")).otherwise(F.col("ca")) / base)
+        far = far.groupBy("host", "template", "seg").agg(F.sum(excess).alias("far"), F.max("nb").alias("nb"), F.max(base).alias("base"))
+        far = written(far.select("host", "template", "seg", (F.col("far") <= F.lit(BOUND) * (1 / F.sqrt("nb") + 1 / F.sqrt("base"))).alias("shaped")), "shaped")
+        b = branch.join(node, ["host", "template"]).join(far, ["host", "template", "seg"], "left")
         variable = (F.col("values") >= VALUES) & (F.col("values") * SPREAD >= F.col("pages"))
-        name = F.when(F.col("seg") == "", "").when(variable & ~F.col("seg").startswith("{"), "{*}").when(alike("bad", "known", pooled) & (F.col("known") > 0), "{~}").otherwise(F.col("seg"))
-        b = written(b.select("host", "template", "seg", name.alias("name"), "known", "bad"), "named")
-        merged = b.groupBy("host", "template", "name").agg(F.sum("known").alias("k"), F.sum("bad").alias("m"))
-        merged = written(merged.select("host", "template", "name", smoothed("m", "k").alias("down")), "merged")
+        name = F.when(F.col("seg") == "", "").when(variable & ~F.col("seg").startswith("{"), "{*}").when(F.col("shaped") & alike("bad", "known", pooled), "{~}").otherwise(F.col("seg"))
+        b = written(b.select("host", "template", "seg", name.alias("name"), "n", "known", "bad"), "named")
+        merged = b.groupBy("host", "template", "name").agg(F.sum("n").alias("p"), F.sum("known").alias("k"), F.sum("bad").alias("m"))
+        merged = written(merged.select("host", "template", "name", smoothed("m", "k", "p").alias("down")), "merged")
         step = b.select("host", "template", "seg", "name").join(merged, ["host", "template", "name"])
         step = written(step, "steps")
         at = at.join(step, ["host", "template", "seg"]).select("host", "segs", "n", "known", "bad", F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"), F.when(F.col("name") == "", F.col("share")).otherwise(F.col("down")).alias("share"), "rest", "name")
         at = written(at, "level")
+        dropped(run, branch, node, shapes, far, b, merged, step, *done)
+        done = [at]
         at.where("name = ''").select(*ended.columns).write.mode("append").parquet(path)
         at = at.where("name <> ''").drop("name").withColumn("rest", F.slice("rest", F.lit(2), F.size("rest")))
     return spark.read.schema(ended.schema).parquet(path).withColumn("rejected", F.col("share") >= REJECT)
