@@ -620,6 +620,43 @@ def test_toxicity_edges(spark):
     assert toxicity.reject(none(spark), toxicity.train(none(spark), labels.limit(0))).count() == 0
 
 
+def test_toxicity_fit_is_bounded(spark):
+    """Long texts are fitted on whole, as far as the bound in bytes goes; a toxic word anywhere in a long text counts."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    rows = []
+    for i in range(240):
+        w = [word() for _ in range(3000 if i % 2 else 60)]
+        if i % 4 < 2:
+            w[rng.randrange(len(w))] = "vilest"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels, fit_bytes=1 << 20)
+    got = {r["id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    print("right", np.mean([(got[i] > 0.5) == (i % 4 < 2) for i in out]))
+    assert np.mean([(got[i] > 0.5) == (i % 4 < 2) for i in out]) > 0.9
+    few = toxicity.train(docs, labels, fit_bytes=16 * 400)  # so that all long texts are beyond it
+    assert few.constant is None and toxicity.train(docs, labels, fit_bytes=16).constant is not None
+
+
+def test_toxicity_plain_model(spark, sf):
+    """The query's scores by a plain loop over each text's words with the fitted model."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    m = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_toxicity"](spark, sf).collect()}
+    for r in docs.collect():
+        w = Words(np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len((r["text"] or "").encode())]))
+        x = m.table[toxicity.word_ids(w)].mean(1) if len(w.hash) else np.zeros((0, toxicity.DIM))
+        pooled = []
+        for n, size in enumerate(toxicity.WIDTHS):
+            at = [np.concatenate([x[i : i + size], np.zeros((max(0, size - len(x[i : i + size])), toxicity.DIM))]).ravel() @ m.filters[n] for i in range(len(x))]
+            pooled.append(np.maximum(np.max(at, 0) + m.bias[n * toxicity.FILTERS : (n + 1) * toxicity.FILTERS], 0) if at else np.zeros(toxicity.FILTERS))
+        want = m.constant if m.constant is not None else toxicity.sigmoid((np.concatenate(pooled) @ m.out + m.shift) * m.slope + m.intercept)
+        assert math.isclose(got[r["doc_id"]], want, abs_tol=1e-4)
+
+
 def test_pooling_of_blocks(monkeypatch):
     """Long texts block by block, short ones side by side: as if each were alone."""
     monkeypatch.setattr(toxicity, "BLOCK", 50)
@@ -627,7 +664,7 @@ def test_pooling_of_blocks(monkeypatch):
     m = toxicity.Model.fresh()
     sizes = [0, 7, 1, 230, 0, 0, 49, 50, 51, 2, 2, 2, 0]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    ids = rng.integers(0, toxicity.BUCKETS, (cuts[-1], 6)).astype(np.int32)
+    ids = rng.integers(0, toxicity.BUCKETS, (cuts[-1], 6)).astype(np.uint16)
     got = m.pooled(ids, cuts)
     for i, n in enumerate(sizes):
         want = np.maximum(m.responses(ids[cuts[i] : cuts[i + 1]]).max(0) + m.bias, 0) if n else 0

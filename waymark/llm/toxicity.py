@@ -4,9 +4,11 @@ A word's vector is the mean of hashed embeddings of the word and of its beginnin
 words with a known beginning count. Filters of several widths run over whole texts; the largest
 response of each filter goes to a logistic layer. Scores are calibrated on rows not fitted on.
 
-The fit takes a bounded sample of labelled rows (``FIT_DOCS`` of each label, texts of at most
-``FIT_CHARS``); scoring takes whole texts of all rows. Labels, language, source and identifiers are
-never inputs of a score; the language only picks the threshold of :func:`reject`.
+The fit takes a bounded sample of labelled rows: ``FIT_DOCS`` of each label, in the order of a hash, as
+long as they have ``FIT_BYTES`` in all; a text of more than a sixteenth of that isn't fitted on. Texts are
+taken whole, there and in scoring, which takes all rows. Embeddings begin with how much more often a word
+is in toxic texts of the sample. Labels, language, source and identifiers are never inputs of a score; the
+language only picks the threshold of :func:`reject`.
 
 Null and empty texts get the score of a text without words; without usable labels of both kinds
 every score is the share of toxic labels (0 without any). Labels given twice count as toxic if one
@@ -22,10 +24,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batches, mixed, utf8
+from waymark.llm.common import Words, batches, by_slices, dropped, mixed, utf8, written
 
-#: Bounds of the fitting sample, of each label; and of a text in it.
-FIT_DOCS, FIT_CHARS = 3000, 20_000
+#: Bounds of the fitting sample: rows of each label, and bytes of each label's texts in all.
+FIT_DOCS, FIT_BYTES = 3000, 8 << 20
 #: Fixed values of the model.
 BUCKETS, DIM, FILTERS, WIDTHS, HEADS = 1 << 15, 16, 12, (1, 2, 3), (3, 4, 5, 6, 7)
 EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 8, 320, 64, 0.02, 1e-4, 11
@@ -36,10 +38,11 @@ BLOCK = 1 << 17
 def word_ids(words: Words) -> np.ndarray:
     """Embedding rows of each word: its own hash, and one for each beginning in HEADS."""
     mask = np.uint64(BUCKETS - 1)
-    ids = [words.hash & mask]
-    for n in HEADS:
-        ids.append(mixed((words.head & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n)) & mask)
-    return np.stack(ids, 1).astype(np.int32)
+    out = np.empty((len(words.hash), len(HEADS) + 1), np.uint16)
+    out[:, 0] = words.hash & mask
+    for k, n in enumerate(HEADS, 1):
+        out[:, k] = mixed((words.head & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n)) & mask
+    return out
 
 
 @dataclass
@@ -67,6 +70,13 @@ class Model:
             rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32),
         )
 
+    def begin(self, odds: np.ndarray) -> None:
+        """The first component of embeddings is the rows' log odds, and one filter of each width looks for it."""
+        self.table[:, 0] = np.clip(odds, -3, 3)
+        for n, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+            f[::DIM, 0] = 2.0 / w
+            self.out[n * FILTERS] = 1.0
+
     def responses(self, ids: np.ndarray) -> np.ndarray:
         """Of each filter at each place; beyond the end words are zero."""
         n = len(ids)
@@ -100,7 +110,7 @@ class Model:
         text = np.zeros(len(ids), np.int64)
         text[begins[1:]] = 1
         place = np.arange(len(ids)) + np.cumsum(text) * pad
-        rows = np.full((len(ids) + pad * (len(begins) - 1), ids.shape[1]), -1, np.int32)
+        rows = np.full((len(ids) + pad * (len(begins) - 1), ids.shape[1]), BUCKETS, np.int32)  # a row of zeros
         rows[place] = ids
         held = self.table
         self.table = self._with_zero()
@@ -114,7 +124,7 @@ class Model:
         return np.maximum.reduceat(r, begins + np.arange(len(begins)) * pad, axis=0)
 
     def _with_zero(self) -> np.ndarray:
-        """The table with a last row of zeros, which index -1 reaches."""
+        """The table with a last row of zeros."""
         if getattr(self, "_zero", None) is None or self._of is not self.table:
             self._zero, self._of = np.concatenate([self.table, np.zeros((1, DIM), np.float32)]), self.table
         return self._zero
@@ -133,9 +143,30 @@ def sigmoid(x):
 
 
 def _encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    return word_ids(w), w.doc
+    """Embedding rows of all words, and where texts begin; some texts at a time."""
+    ids, sizes, held, size = [], [], [], 0
+
+    def done():
+        w = Words(np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in held])]).astype(np.int64))
+        ids.append(word_ids(w)), sizes.append(np.diff(w.doc))
+
+    for t in texts:
+        held.append(t.encode())
+        size += len(held[-1])
+        if size > 1 << 20:
+            done()
+            held, size = [], 0
+    done()
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
+def _odds(ids: np.ndarray, cuts: np.ndarray, docs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of each embedding row, the smoothed log odds that a toxic text has a word of it, against other texts."""
+    counts = np.ones((2, BUCKETS))
+    for d in docs:
+        counts[int(labels[d]), np.unique(ids[cuts[d] : cuts[d + 1]])] += 1
+    of = np.array([(labels[docs] == y).sum() + 2 for y in (0, 1)])
+    return np.log(counts[1] / of[1]) - np.log(counts[0] / of[0])
 
 
 def fit(texts: list[str], labels: np.ndarray, languages: list, held: np.ndarray, shares: tuple[float, float]) -> Model:
@@ -148,6 +179,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list, held: np.ndarray,
         return model
     ids, cuts = _encoded(texts)
     rng, train = np.random.default_rng(SEED), np.nonzero(~held)[0]
+    model.begin(_odds(ids, cuts, train, labels))
     weight = np.where(labels == 1, 0.5 / max(labels[train].mean(), 1e-6), 0.5 / max(1 - labels[train].mean(), 1e-6)).astype(np.float32)
     slow: dict = {}
 
@@ -238,8 +270,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a sample of labelled rows outside the held-out third; at most ``fit_docs`` of each label."""
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on a sample of labelled rows outside the held-out third; at most ``fit_docs`` and ``fit_bytes`` of each label."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -249,9 +281,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col:
         picked = one if picked is None else picked.union(one)
     # at most 2 * fit_docs narrow rows: a proven bound
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "id")
-    rows = texts.where(F.length("text") <= FIT_CHARS).withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0).dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r["id"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), lang.alias("lang"))
+    texts = texts.where(F.octet_length("text") <= fit_bytes // 16).join(F.broadcast(picked), "id").withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0)
+    some = written(texts, "sample")
+    rows = {}
+    for y in (0, 1):
+        size = 0
+        for r in some.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("fit")), "id", "text").toLocalIterator():
+            size += len(r["text"].encode())
+            if size > fit_bytes:
+                break
+            rows.setdefault(r["id"], r)
+    dropped(some)
+    rows = sorted(rows.values(), key=lambda r: r["id"])
     return fit([r["text"] for r in rows], np.array([r["y"] for r in rows]), [r["lang"] for r in rows], np.array([r["held"] for r in rows], bool), (counts.get(0, 0), counts.get(1, 0)))
 
 
@@ -285,7 +327,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def scored(texts):
         import pyarrow as pa
 
-        return pa.array(_score_texts(texts, shared.value).astype(np.float64))
+        return pa.array(by_slices(texts, lambda x: _score_texts(x, shared.value).astype(np.float64), float))
 
     limit = F.lit(model.threshold)
     if "lang" in docs.columns:
