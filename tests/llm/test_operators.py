@@ -253,6 +253,28 @@ def test_dense_groups(spark, monkeypatch, bucket):
     assert got == dict(zip(prints, plain_components(list(range(len(prints))), prints, 4), strict=True))
 
 
+def test_large_buckets_meet_again(spark, monkeypatch):
+    """A bucket whose rows share three blocks but little else: taken apart by the other bits, and no link is lost."""
+    monkeypatch.setattr(simhash, "BUCKET", 64)
+    rng = random.Random(19)
+    shared = simhash.EXACT.tables[3][0][1]
+    base = rng.getrandbits(64)
+    prints = {base & shared | rng.getrandbits(64) & ~shared & (2**64 - 1) for _ in range(1500)}
+    prints |= {p ^ sum(1 << b for b in rng.sample(range(64), rng.choice((3, 4, 5)))) for p in rng.sample(sorted(prints), 300)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)], "id bigint, f0 bigint")
+    got = {r["f0"] % 2**64: r["component"] for r in simhash.grouped(df, simhash.EXACT).collect()}
+    assert got == dict(zip(prints, plain_components(list(range(len(prints))), prints, 4), strict=True))
+
+
+def test_tables_grow_with_the_corpus():
+    assert simhash.scaled(simhash.SIMILAR, 10**7) == simhash.SIMILAR and simhash.scaled(simhash.EXACT, 10**12) == simhash.EXACT
+    for rows, size in ((10**9, 3), (10**11, 4)):
+        plan = simhash.scaled(simhash.SIMILAR, rows)
+        assert {len(t) for t in plan.tables} == {size} and len(set(plan.tables)) == len(plan.tables)
+        assert (1 - 0.85 ** (8 * size)) ** len(plan.tables) <= (1 - 0.85**16) ** 64
+
+
 def test_every_pair_shares_a_table():
     rng = random.Random(6)
     for _ in range(2000):

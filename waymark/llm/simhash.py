@@ -3,7 +3,7 @@
 ``Plan`` fixes the shingles, the bits and the blocks. With ``m`` blocks of which a pair within
 ``distance`` bits shares at least ``m - distance``, one table for each choice of that many blocks
 finds every such pair: no link is lost. Wider fingerprints, where so many blocks can't be shared,
-take tables of two bytes each; what they find is measured in the README. A plan with a ``similarity``
+take tables of two bytes each, or of more in a larger corpus; what they find is measured in the README. A plan with a ``similarity``
 then checks links on the texts' shingle sets, so that nothing below it is linked, and where a link
 fails, all pairs of what it linked. Its fingerprints are of distinct shingles, as its similarity is,
 and texts are one node where their sets of shingles are equal, not where their fingerprints are.
@@ -15,15 +15,16 @@ component of others. An empty table gives no rows. Other columns of the input ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import combinations
+from math import ceil, log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, components, written
+from waymark.llm.common import batches, components, dropped, written
 
 #: Shingles hashed at a time, so that long texts take bounded memory.
 BLOCK = 1 << 16
@@ -47,23 +48,48 @@ class Plan:
     similarity: float | None = None
 
 
+def _choices(places: list[int], blocks: int, distance: int) -> list[int]:
+    """Masks over all choices of ``blocks - distance`` of so many blocks of the bits at ``places``."""
+    cuts = [round(i * len(places) / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << p for p in places[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
+
+
 def exact_tables(bits: int = 64, blocks: int = 7, distance: int = 4) -> tuple:
     """Choices of ``blocks - distance`` of ``blocks`` blocks: every pair within ``distance`` shares one."""
-    cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return tuple(((0, sum(masks[i] for i in c)),) for c in combinations(range(blocks), blocks - distance))
+    return tuple(((0, mask),) for mask in _choices(list(range(bits)), blocks, distance))
 
 
-def paired_tables(bits: int = 256, steps: tuple = (1, 5, 11)) -> tuple:
-    """Two bytes of the fingerprint for each table: byte ``i`` and byte ``i + step``, all round."""
+def paired_tables(bits: int = 256, steps: tuple = ((1,), (5,))) -> tuple:
+    """A byte of the fingerprint and those ``steps`` further, all round, for each table."""
     n = bits // 8
-    return tuple(tuple(((j % n) // 8, 255 << (8 * ((j % n) % 8))) for j in (i, i + s)) for s in steps for i in range(n))
+    return tuple(tuple(((j % n) // 8, 255 << (8 * ((j % n) % 8))) for j in (i, *(i + s for s in step))) for step in steps for i in range(n))
 
 
 #: The contract's plan: no link within 4 of 64 bits is lost.
 EXACT = Plan(4, 64, 4, exact_tables())
 #: Five-word shingles at a similarity of 0.8: 256 bits, of which such pairs differ in about 39, give or take 6.
-SIMILAR = Plan(5, 256, 56, paired_tables(256, (1, 5)), 0.8)
+SIMILAR = Plan(5, 256, 56, paired_tables(), 0.8)
+#: Fingerprints in a bucket on average, up to which keys of two bytes do.
+AVERAGE = 1024
+
+
+def scaled(plan: Plan, rows: int) -> Plan:
+    """The plan for so many fingerprints: keys of more bytes where buckets would grow with the corpus, and tables enough to find as many pairs.
+
+    Of the bits of a pair at 0.8, 0.85 agree: a key of ``k`` bytes does in ``0.85 ** (8 * k)`` of tables.
+    """
+    size = 2
+    while rows > AVERAGE << (8 * size):
+        size += 1
+    if plan.similarity is None or size == 2:
+        return plan
+    missed = (1 - 0.85**16) ** len(plan.tables)
+    need = ceil(log(missed) / log(1 - 0.85 ** (8 * size)) / (plan.bits // 8))
+    n = plan.bits // 8
+    steps = [c for c in combinations(range(1, n), size - 1)]
+    return replace(plan, tables=paired_tables(plan.bits, tuple(steps[i * len(steps) // need] for i in range(need))))
+
 
 
 def _hashes(words: list[bytes], k: int):
@@ -229,7 +255,9 @@ def _groups(rows, distance: int, join=forest, wide: int | None = None):
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()) for rows in raw], names=["a", "b"])
 
     held: list[np.ndarray] = []
-    for b in batches(rows):
+    for b in rows:
+        if not b.num_rows:
+            continue
         x = cols(b)
         held.append(x)
         whole = np.concatenate(held) if len(held) > 1 else x
@@ -246,28 +274,43 @@ def _groups(rows, distance: int, join=forest, wide: int | None = None):
 def links(prints: DataFrame, plan: Plan) -> DataFrame:
     """``a, b`` (fingerprints as binaries) that connect all distinct fingerprints linked by the plan.
 
-    Rows meet by table and key. Buckets of one row go before anything else; those above ``BUCKET``
-    rows are dealt out as pairs of parts, each no larger than twice half a bucket, so that no task
-    holds a large bucket and no link is left out.
+    Rows meet by table and key. Buckets above ``BUCKET`` rows, found from counts that are combined before
+    their shuffle, are taken apart before their rows are moved: an exact plan meets them again in blocks
+    of the bits that the bucket doesn't share; what is large still is dealt out as pairs of parts, each no
+    larger than half a bucket. So no task holds a large bucket and no link is left out.
     """
     fs = _names(plan)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prints.select(*fs, F.explode(_keys(plan)).alias("x")).select("x.t", "x.k", *fs).repartition(n, "t", "k")
-    counts = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = dealt.join(counts.hint("merge"), ["t", "k"])
-    group = F.xxhash64("t", "k")
-    small = met.where(F.col("n") <= BUCKET).select(group.alias("g"), *fs)
-    parts = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64(*fs), parts).cast("int")
-    large = met.where(F.col("n") > BUCKET).withColumns({"p": parts, "o": own}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    # a part meets itself in its pairs with others; g names the pair of parts
-    large = large.select(F.xxhash64("t", "k", F.least("o", "j"), F.greatest("o", "j")).alias("g"), *fs)
+    met = prints.select(*fs, F.explode(_keys(plan)).alias("x")).select("x.t", "x.k", *fs)
+
+    def large(rows: DataFrame, by: list[str]) -> DataFrame:
+        return written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET), "large")
+
+    def parted(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Rows of large buckets, each part to meet each other one and so itself."""
+        parts = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
+        rows = rows.withColumns({"p": parts, "o": F.pmod(F.xxhash64(*fs), parts).cast("int")}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).where("j <> o")
+        return rows.select(F.xxhash64(*by, F.least("o", "j"), F.greatest("o", "j")).alias("g"), *fs)
+
+    by, hot = ["t", "k"], large(met, ["t", "k"])
+    if hot.isEmpty():
+        rows = met.select(F.xxhash64(*by).alias("g"), *fs)
+        dropped(hot)
+    else:
+        met = met.join(hot, by, "left")
+        rows, met = met.where("n is null").select(F.xxhash64(*by).alias("g"), *fs), met.where("n is not null")
+        if plan.similarity is None and plan.bits == 64:
+            masks = [_choices([i for i in range(64) if not mask >> i & 1], 7, plan.distance) for ((_, mask),) in plan.tables]
+            every, per = F.array(*[F.lit(_signed(m)) for own in masks for m in own]), len(masks[0])
+            met = met.drop("n").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+            met = met.withColumn("k2", F.col("f0").bitwiseAND(F.get(every, F.col("t").cast("int") * per + F.col("s"))))
+            by = [*by, "s", "k2"]
+            met = met.join(large(met, by), by, "left")
+            rows = rows.union(met.where("n is null").select(F.xxhash64(*by).alias("g"), *fs))
+            met = met.where("n is not null")
+        rows = rows.union(parted(met, by))
     kernel = partial(_groups, distance=plan.distance, join=forest if plan.similarity is None else spanning, wide=plan.bits // 64)
-    schema = "a binary, b binary"
-    # joined rows come sorted by t and k already, yet g must be the order that the kernel sees
-    a = small.sortWithinPartitions("g").mapInArrow(kernel, schema)
-    b = large.repartition(n, "g").sortWithinPartitions("g").mapInArrow(kernel, schema)
-    return a.union(b).distinct()
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(kernel, "a binary, b binary").distinct()
 
 
 def _set_batches(rows, plan: Plan):
@@ -388,8 +431,9 @@ def similar_components(found: DataFrame, kinds: DataFrame, docs: DataFrame, plan
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = dealt.repartition(n, "g").sortWithinPartitions("g").mapInArrow(partial(_grow_batches, least=plan.similarity), "a binary, b binary")
     more = components(more.distinct())
-    whole = _rooted(_rooted(sets.select("node", F.col("node").alias("root")), "root", roots), "root", more)
-    return written(whole, "similar")
+    whole = written(_rooted(_rooted(sets.select("node", F.col("node").alias("root")), "root", roots), "root", more), "similar")
+    dropped(found, ids, sets, tested, roots, apart, members, more)
+    return whole
 
 
 def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,13 +443,16 @@ def grouped(prints: DataFrame, plan: Plan, docs: DataFrame | None = None, id_col
     """
     fs = _names(plan)
     kinds = written(prints.groupBy(*fs).agg(F.min("id").alias("first")), "kinds")
+    plan = scaled(plan, kinds.count())
     found = links(kinds, plan)
     found = components(found) if plan.similarity is None else similar_components(found, kinds, docs, plan, id_col, text_col)
     raw = _raw(fs)
     marked = kinds.withColumn("node", raw).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     marked = written(marked.select(*fs, "first", "root"), "marked")
     least = written(marked.groupBy("root").agg(F.min("first").alias("component")), "roots")
-    return written(marked.join(least, "root").select(*fs, "first", "component"), "grouped")
+    out = written(marked.join(least, "root").select(*fs, "first", "component"), "grouped")
+    dropped(kinds, found, marked, least)
+    return out
 
 
 def _raw(fs: list[str]) -> Column:
