@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, dropped, written
+from waymark.llm.common import batches, dropped, small_batches, written
 
 ROLES = ("system", "user", "assistant")
 #: What speakers are called in transcripts.
@@ -417,6 +417,7 @@ def formatted(turns: DataFrame, model: Model | None = None, long_turns: int = LO
     """``conv_id, part, n_turns, n_found, roles, rendered, n_right`` (of 1000 lines, those whose role was recovered); ``part`` is 0 but for long conversations."""
     spark = turns.sparkSession
     t = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train(t))
     sizes = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     long = written(sizes.where((F.col("n") > long_turns) | (F.col("chars") > long_chars)).select(F.col("conv_id").alias("__id")), "long")

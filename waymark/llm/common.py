@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes, of what a kernel takes at once: texts may be long. A single longer row is taken alone.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
+#: Rows that Spark sends to a worker at once.
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,8 +48,19 @@ def dropped(*tables: DataFrame) -> None:
                 _delete(df.sparkSession, f)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to workers a thousand rows at a time, unless the session has a size of its own; :func:`clean` takes that back.
+
+    Spark reads the size when a result is planned, which is after the operator has returned.
+    """
+    if int(spark.conf.get(ARROW_KEY)) == 10_000:
+        spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; results that still read from there end with it."""
+    if spark.conf.get(ARROW_KEY) == str(ARROW_ROWS):
+        spark.conf.unset(ARROW_KEY)
     _delete(spark, f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}")
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batches, by_slices, mixed, utf8
+from waymark.llm.common import Words, batches, by_slices, mixed, small_batches, utf8
 
 #: Items below so many words have windows of their own length at every word; others at every STRIDE-th word.
 SHORT, STRIDE = 12, 4
@@ -302,6 +302,7 @@ def _find_batches(rows, shared):
 def leaks(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``id, item_id, distance, first_word, n_words``: a row for each item found in each row of ``docs``; no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = None
     for index in indexes(benchmark, max_share, **kw):
@@ -313,6 +314,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2, id_col:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2, text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without rows in whose text an item is found; columns as they were, no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     for index in indexes(benchmark, max_share, **kw):
         shared = spark.sparkContext.broadcast(index)
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, components, dropped, written
+from waymark.llm.common import batches, components, dropped, small_batches, written
 
 #: Shingles hashed at a time, so that long texts take bounded memory.
 BLOCK = 1 << 16
@@ -159,6 +159,7 @@ def _print_batches(rows, plan: Plan):
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, f0, f1, ...``: a row for each row of ``docs``, 64 bits in each signed long; with a similarity, ``digest`` too."""
+    small_batches(docs.sparkSession)
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} bigint" for x in _names(plan))
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(partial(_print_batches, plan=plan), schema)
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Words, batches, by_slices, dropped, mixed, utf8, written
+from waymark.llm.common import Words, batches, by_slices, dropped, mixed, small_batches, utf8, written
 
 #: Bounds of the fitting sample: rows of each label, and bytes of each label's texts in all.
 FIT_DOCS, FIT_BYTES = 3000, 8 << 20
@@ -313,6 +313,7 @@ def _score_batches(rows, shared):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of each row; one pass over whole texts, no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(partial(_score_batches, shared=shared), f"id {kind}, score double")
@@ -321,6 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without rows whose score reaches the threshold of their language; columns as they were."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
