@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from waymark import IndexManager, IndexSpec, KVFile, KVFolder, ReaderOptions, TableIndexer, WriterOptions, write_kv, write_partitioned_kv
+from waymark import IndexManager, IndexSpec, KVFile, KVFolder, KVOptions, KVWriter, ReaderOptions, TableIndexer, WriterOptions, write_kv, write_partitioned_kv
 from waymark.functions.buckets import SPELT_OUT, partition_predicate
 from waymark.operators import reader
 from waymark.operators.join import join_with_index
@@ -320,6 +320,26 @@ def test_kv(spark, tmp_path):
         co_partition(df, ["id"], [({"prt": "small"}, 2)]).collect()
 
 
+def test_kv_options(spark, tmp_path):
+    """Named options are checked before anything is written, and take effect."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(5000).select("id", (F.col("id") * 2).alias("v"), F.lit("x").alias("other"))
+    folder = str(tmp_path / "kv")
+    KVWriter(df).options(key_fields="id", value_fields="v", btree_interval="100", compression="gzip", buckets=2).save(folder)
+    kv = KVFolder(spark, folder)
+    assert sorted(kv.scan().columns) == ["id", "v"] and kv.scan().count() == 5000 and kv.get([77]).v == 154
+    f = pq.ParquetFile(next(tmp_path.glob("kv/*/*.parquet")))
+    assert f.metadata.row_group(0).column(0).compression == "GZIP" and f.metadata.row_group(0).num_rows == 1000
+    with pytest.raises(Exception, match="already exists"):
+        KVWriter(df).options(key_fields="id", value_fields="v", cleanup=False).save(folder)
+    good = {"key.fields": "id", "value.fields": "v"}
+    assert KVOptions.of(good, df.columns).cleanup and KVOptions.of(good | {"cleanup": "FALSE"}, df.columns).cleanup is False
+    for bad in ({"key.fields": "id"}, good | {"key.fields": "no"}, good | {"value.fields": "id"}, good | {"cleanup": "maybe"}, good | {"compression": "odd"}, good | {"btree.interval": "0"}, good | {"odd": 1}):
+        with pytest.raises(ValueError):
+            KVOptions.of(bad, df.columns)
+
+
 @pytest.mark.parametrize("interval", [1, 3, 10, 1000])
 def test_kv_file(tmp_path, interval):
     entries = [{"k": k, "v": i} for i, k in enumerate(["b1", "a1", "c", "a1", "d", "a1"])]

@@ -5,8 +5,8 @@ partition, can be queried like any table, and brings back payload columns by see
 """
 
 from waymark.manager import IndexManager
-from waymark.operators.kv import KVFile, KVFolder, write_kv, write_partitioned_kv
+from waymark.operators.kv import KVFile, KVFolder, KVOptions, KVWriter, write_kv, write_partitioned_kv
 from waymark.sources.indexer import TableIndexer
 from waymark.spec import IndexSpec, ReaderOptions, WriterOptions
 
-__all__ = ["IndexManager", "IndexSpec", "KVFile", "KVFolder", "ReaderOptions", "TableIndexer", "WriterOptions", "write_kv", "write_partitioned_kv"]
+__all__ = ["IndexManager", "IndexSpec", "KVFile", "KVFolder", "KVOptions", "KVWriter", "ReaderOptions", "TableIndexer", "WriterOptions", "write_kv", "write_partitioned_kv"]

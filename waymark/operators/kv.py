@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from waymark.functions.buckets import bucket_of, literals
 from waymark.operators.layout import co_partition
 from waymark.sources.files import open_input
+from waymark.spec import WriterOptions
 
 META, BUCKET = "_waymark_kv.json", "__bucket"
 
@@ -36,12 +38,12 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_kv(df: DataFrame, keys: list[str], folder: str, n_buckets: int, mode: str = "overwrite", rows_per_group: int = 10_000) -> None:
+def write_kv(df: DataFrame, keys: list[str], folder: str, n_buckets: int, mode: str = "overwrite", rows_per_group: int = 10_000, compression: str = "zstd") -> None:
     """Hash buckets of ``keys``, each sorted; the bucket count is kept beside the data, never guessed from files."""
-    write_partitioned_kv(df, keys, folder, [({}, n_buckets)], mode, rows_per_group)
+    write_partitioned_kv(df, keys, folder, [({}, n_buckets)], mode, rows_per_group, compression)
 
 
-def write_partitioned_kv(df: DataFrame, keys: list[str], folder: str, specs: list[tuple[dict, int]], mode: str = "overwrite", rows_per_group: int = 10_000) -> None:
+def write_partitioned_kv(df: DataFrame, keys: list[str], folder: str, specs: list[tuple[dict, int]], mode: str = "overwrite", rows_per_group: int = 10_000, compression: str = "zstd") -> None:
     """The same below partition folders, with a bucket count for each partition. No spec: nothing is written."""
     if not specs:
         return
@@ -56,12 +58,84 @@ def write_partitioned_kv(df: DataFrame, keys: list[str], folder: str, specs: lis
             hit = hit & (F.col(f"`{k}`").cast("string") == F.lit(str(v)))
         number = F.when(hit, F.lit(n)) if number is None else number.when(hit, F.lit(n))
     out = co_partition(df, keys, specs).withColumn(BUCKET, bucket_of(keys, number))
-    out.write.mode(mode).option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.row.count.limit", 1000).partitionBy(*parts, BUCKET).parquet(folder)
+    out.write.mode(mode).option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.row.count.limit", max(1, rows_per_group // 10)).option("compression", compression).partitionBy(*parts, BUCKET).parquet(folder)
     known = {tuple(sorted(x["spec"].items())): x for x in (json.loads(old)["specs"] if old else [])}
     known |= {tuple(sorted((k, str(v)) for k, v in s.items())): {"spec": {k: str(v) for k, v in s.items()}, "buckets": n} for s, n in specs}
     _write_text(spark, f"{folder}/{META}", json.dumps({"keys": keys, "parts": parts, "specs": list(known.values()), "schema": df.drop(*parts).schema.jsonValue()}))
 
 
+@dataclass(frozen=True)
+class KVOptions:
+    """What a key-value writer may be told by name; every name is checked before anything is written.
+
+    ``keys`` and ``values`` are columns of the frame, ``interval`` the rows in a page (a row group has ten
+    times as many), ``buckets`` the files. ``height`` is accepted and has no effect, as row-group
+    statistics take a tree's place. With ``cleanup`` what is in the folder goes; else it must be empty.
+    """
+
+    keys: tuple[str, ...]
+    values: tuple[str, ...]
+    interval: int = 1000
+    height: int = 4
+    compression: str = "zstd"
+    buckets: int = 1
+    cleanup: bool = True
+
+    #: Fixed names of the options.
+    NAMES = {"key.fields": "keys", "value.fields": "values", "btree.interval": "interval", "btree.height": "height", "compression": "compression", "buckets": "buckets", "cleanup": "cleanup"}
+
+    @classmethod
+    def of(cls, options: dict[str, object], columns: list[str]) -> KVOptions:
+        """Options by their names, as strings or values, for a frame of ``columns``."""
+        if unknown := sorted(set(options) - set(cls.NAMES)):
+            raise ValueError(f"unknown options {unknown}; known: {sorted(cls.NAMES)}")
+        if missing := [n for n in ("key.fields", "value.fields") if not options.get(n)]:
+            raise ValueError(f"options missing: {missing}")
+        got: dict[str, object] = {}
+        for name, value in options.items():
+            field = cls.NAMES[name]
+            if field in ("keys", "values"):
+                got[field] = tuple(x.strip() for x in (value.split(",") if isinstance(value, str) else value))
+            elif field == "cleanup":
+                if str(value).lower() not in ("true", "false"):
+                    raise ValueError(f"cleanup is true or false, not {value!r}")
+                got[field] = str(value).lower() == "true"
+            else:
+                got[field] = str(value) if field == "compression" else int(value)
+        out = cls(**got)
+        every = out.keys + out.values
+        if lost := [c for c in every if c not in columns]:
+            raise ValueError(f"no such columns: {lost}")
+        if len(set(every)) != len(every):
+            raise ValueError(f"a column is a key or a value, and once: {every}")
+        if out.compression not in WriterOptions.CODECS:
+            raise ValueError(f"unknown codec {out.compression!r}; known: {WriterOptions.CODECS}")
+        if out.interval < 1 or out.buckets < 1:
+            raise ValueError(f"out of range: {out}")
+        return out
+
+
+class KVWriter:
+    """Writes a frame as a key-value folder by named options: ``KVWriter(df).option("key.fields", "id").option("value.fields", "a,b").save(folder)``."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.told = df, {}
+
+    def option(self, name: str, value) -> KVWriter:
+        self.told[name] = value
+        return self
+
+    def options(self, **named) -> KVWriter:
+        self.told |= {k.replace("_", "."): v for k, v in named.items()}
+        return self
+
+    def save(self, folder: str) -> None:
+        """Sorted files of the key and value columns alone, one a bucket."""
+        o = KVOptions.of(self.told, self.df.columns)
+        rows = self.df.select(*[f"`{c}`" for c in (*o.keys, *o.values)])
+        write_kv(rows, list(o.keys), folder, o.buckets, "overwrite" if o.cleanup else "error", 10 * o.interval, o.compression)
+
+
 class KVFolder:
     """Point reads of a folder written by :func:`write_kv`; a key's bucket and row groups alone are read."""
 

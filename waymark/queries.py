@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions.buckets import bucket_of
 from waymark.manager import IndexManager
 from waymark.operators.join import common_partitions, join_with_index, missing_partitions
-from waymark.operators.kv import KVFolder, write_kv, write_partitioned_kv
+from waymark.operators.kv import KVFolder, KVWriter, write_kv, write_partitioned_kv
 from waymark.operators.layout import first_match, guard_decimals
 from waymark.plans.chunks import bucket_count, running_bytes, sampled_size, tree_height
 from waymark.sources.files import list_files
@@ -262,6 +262,13 @@ def kv_all(spark, d):
     return KVFolder(spark, folder).scan().select("o_orderkey", "o_totalprice")
 
 
+def kv_options(spark, d):
+    """A key-value folder written by named options: the columns named, and no others."""
+    folder = _shared(spark)
+    KVWriter(_read(spark, d, "customer")).option("key.fields", "c_nationkey, c_custkey").option("value.fields", "c_acctbal").option("buckets", 3).option("btree.interval", 200).save(folder)
+    return KVFolder(spark, folder).scan()
+
+
 def kv_sorted(spark, d):
     return kv_all(spark, d).orderBy("o_orderkey").limit(50)
 
@@ -337,6 +344,7 @@ SQL = {
     "key_stats": "select count(*) as n, count(distinct l_orderkey) as nk from lineitem",
     "dup_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
     "kv_all": "select o_orderkey, o_totalprice from orders",
+    "kv_options": "select c_nationkey, c_custkey, c_acctbal from customer",
     "kv_sorted": "select o_orderkey, o_totalprice from orders order by o_orderkey limit 50",
     "kv_point": "select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderkey = 77",
     "bucket_rows": "select cast(count(*) as bigint) as n, cast(count(distinct o_orderkey) as bigint) as k from orders",
@@ -351,7 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_by_index_dups": load_by_index_dups, "load_documents": load_documents, "load_embeddings": load_embeddings, "load_orc": load_orc, "manager_load": manager_load, "manager_index": manager_index,
     "manager_missing": manager_missing, "fetch_one": fetch_one, "fetch_miss": fetch_miss, "fetch_all": fetch_all, "join_all": join_all, "join_first": join_first, "join_first_bucketed": join_first_bucketed,
     "first_of_key": first_of_key, "semi_probe": semi_probe, "anti_probe": anti_probe, "missing_partitions": missing, "common_partitions": common, "partition_counts": partition_counts,
-    "running_bytes": running, "key_stats": key_stats, "dup_keys": dup_keys, "kv_all": kv_all, "kv_sorted": kv_sorted, "kv_point": kv_point, "bucket_rows": bucket_rows, "decimal_key": decimal_key,
+    "running_bytes": running, "key_stats": key_stats, "dup_keys": dup_keys, "kv_all": kv_all, "kv_options": kv_options, "kv_sorted": kv_sorted, "kv_point": kv_point, "bucket_rows": bucket_rows, "decimal_key": decimal_key,
     "load_text": load_text, "load_selected": load_selected, "load_lax": load_lax, "stream_index": stream_index, "files_listed": files_listed, "index_files": index_files, "manager_reopened": manager_reopened,
     "sizing": sizing, "row_sizes": row_sizes, "previous_locator": previous_locator,
 }
