@@ -58,6 +58,15 @@ def test_fill_and_reopen(spark, made):
         m.append_new_partitions([{"x": 1}])
 
 
+def test_locations(spark, made):
+    """Folders as the catalog has them: of the index, of the data, and of a partition of each."""
+    m, data, _ = made
+    at = {"dt": "2021-02-03"}
+    for table, folder in ((m.spec.index_table, m.index_folder), (m.spec.data_table, m.partition_location())):
+        assert folder.rstrip("/").endswith(table) and m.partition_location(at, table) == f"{folder}/dt=2021-02-03"
+    assert spark.read.parquet(m.partition_location(at, m.spec.index_table)).count() == m.get_index().where("dt = '2021-02-03'").count()
+
+
 def test_files_of_index(spark, made):
     """Each bucket of each partition is one file, in key order, written with the options asked for."""
     import pyarrow.parquet as pq
@@ -160,6 +169,18 @@ def test_files_open_once(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_ranges_by_size(spark, tmp_path, monkeypatch):
+    """Small data are shared by all cores; large data in ranges that row groups fit in."""
+    path = str(tmp_path / "d")
+    spark.range(1000).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert reader.range_rows(df) == reader.SMALL_RANGE
+    monkeypatch.setattr(reader, "TASK_BYTES", 1)
+    assert reader.range_rows(df) == reader.LARGE_RANGE
+    t = TableIndexer(df, "parquet", ReaderOptions(rows_per_task=100))
+    assert t.load_by_index(t.create_index_df(["id"])).count() == 1000
+
+
 def test_fetch_all_opens_once(spark, monkeypatch):
     name = f"d_{uuid.uuid4().hex[:8]}"
     spark.range(300).select(F.lit(1).alias("k"), "id").repartition(2).write.saveAsTable(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import time
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,6 +240,18 @@ def _reached(data: DataFrame) -> bool:
     return len(files) > 0 and arrow_reaches(files[0])
 
 
+#: Rows of a file that one task serves: of large data, so many that a row group is seldom decoded by several tasks;
+#: of data that are less than TASK_BYTES a core, so few that all cores have a part.
+LARGE_RANGE, SMALL_RANGE, TASK_BYTES = 1 << 20, 1 << 17, 128 << 20
+
+
+def range_rows(data: DataFrame) -> int:
+    """Rows of a file for one task, by what the catalog or the scan's own listing says of the data's size."""
+    sizes = [leaf.relation().sizeInBytes() for leaf in _leaves(data)]
+    small = sizes and sum(sizes) < TASK_BYTES * data.sparkSession.sparkContext.defaultParallelism
+    return SMALL_RANGE if small else LARGE_RANGE
+
+
 def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
     """One row for each request; columns of ``index`` without locators and payload names, then the payload.
 
@@ -252,6 +265,7 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
         strategy = "seek" if _seekable(fmt, payload) and _reached(data) else "scan"
     if strategy == "scan" or not _seekable(fmt, payload):
         return _scan_join(index, kept, names, fmt, data, options)
+    options = replace(options, rows_per_task=options.rows_per_task or range_rows(data))
     need = index.select(*[f"`{c}`" for c in kept], *LOCATOR)
     if options.chunks:
         need = chunked(need, options)

@@ -93,7 +93,8 @@ class ReaderOptions:
     ``chunks`` bounds a task's work by bytes; ``strategy`` is ``seek`` (row groups by Arrow),
     ``scan`` (a join on the scan's own row numbers, for stores that only Spark reads) or ``auto``:
     ``seek`` where Arrow reaches the files. A seek moves locators alone and decodes a row group once
-    a task, so it is no slower than the scan where all rows are wanted. ``metrics`` is a
+    a task, so it is about as fast as the scan where all rows are wanted. ``rows_per_task`` is the range of a file that
+    one task serves; by default by the data's size. ``metrics`` is a
     :class:`waymark.operators.reader.Metrics` that counts over all tasks.
     """
 
@@ -105,7 +106,7 @@ class ReaderOptions:
     debug: bool = False
     reporter: object = None
     strategy: str = "auto"
-    rows_per_task: int = 1 << 20
+    rows_per_task: int | None = None
     metrics: object = None
     extra: dict = field(default_factory=dict)
 
