@@ -6,9 +6,11 @@ from decimal import Decimal
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from waymark import IndexManager, ReaderOptions
+from waymark import IndexManager, ReaderOptions, TableIndexer
+from waymark.operators.reader import text_layout
 from waymark.sources.avro import AvroFile
 from waymark.sources.files import open_input
+from waymark.sources.sequence import SequenceFile
 from waymark.spec import FILE, OFFSET
 
 base = sys.argv[1]
@@ -29,8 +31,12 @@ def seeks(df):
     return "MapInArrow" in df._jdf.queryExecution().toString()
 
 
-for fmt in sys.argv[2:]:
-    t = f"t_{fmt}"
+for i, told in enumerate(sys.argv[2:]):
+    fmt, kind, codec = (*told.split("/"), "", "")[:3]
+    t = f"t_{fmt}_{i}"
+    spark.conf.set("hive.exec.compress.output", str(kind != "NONE").lower())
+    spark.conf.set("mapreduce.output.fileoutputformat.compress.type", kind or "RECORD")
+    spark.conf.set("mapreduce.output.fileoutputformat.compress.codec", f"org.apache.hadoop.io.compress.{codec or 'Default'}Codec")
     spark.sql(f"CREATE TABLE {t} (id_col string, meta_field string, var1 string, var2 int, var_map map<string,string>, d decimal(10,5), arr array<bigint>, s struct<a:int,b:string>, f float, g double, ok boolean, day date) PARTITIONED BY (dt string) STORED AS {fmt}")
     spark.range(1, N + 1, 1, 3).select(
         F.concat(F.lit("msg_"), "id"), F.concat(F.lit("meta_"), "id"), F.when(F.col("id") % 7 > 0, F.repeat(F.concat(F.lit("é"), "id"), 20)), (F.col("id") - 50).cast("int"), F.create_map(F.lit("k"), F.concat(F.lit("v"), "id")),
@@ -45,7 +51,7 @@ for fmt in sys.argv[2:]:
     per = index.groupBy(FILE).agg(F.min(OFFSET).alias("a"), F.max(OFFSET).alias("b"), F.count(F.lit(1)).alias("n")).collect()
     assert all(r["a"] == 0 and r["b"] == r["n"] - 1 for r in per)
     loaded = m.load_by_index(index)
-    assert seeks(loaded) == (fmt in ("avro", "orc", "parquet")), fmt
+    assert seeks(loaded) == (fmt != "textfile"), fmt
     assert rows(loaded) == rows(data)
     some = index.where("meta_field like '%1'")
     three = some.union(some).union(some)
@@ -54,6 +60,11 @@ for fmt in sys.argv[2:]:
     at = {"dt": "2021-02-04"}
     assert m.fetch("msg_7", at, ["var1", "var2", "var_map", "d"]) == {"id_col": "msg_7", "var1": None, "var2": -43, "var_map": {"k": "v7"}, "d": Decimal("-11.62500")}
     assert m.fetch("msg_7", {"dt": "2021-02-03"}) is None and m.fetch("none") is None
+    both = m.load_by_index(some, ["var2", "dt"])  # partition columns stand in no file
+    assert seeks(both) == seeks(loaded) and rows(both.drop("meta_field")) == rows(data.where("meta_field like '%1'").select("id_col", "var2", "dt"))
+    assert m.fetch("msg_7", fields=["dt"]) == {"id_col": "msg_7"} | at
+    lone = m.load_by_index(some.drop("dt"), ["dt"])
+    assert not seeks(lone) and lone.where("dt is null").count() == 0 < lone.count()
     assert m.join_with_index(data.where("var2 % 3 = 0").select("dt", "id_col", "var2")).count() == N // 3
     bad = index.limit(3).withColumn(OFFSET, F.lit(10**9).cast("bigint"))
     lax = IndexManager.load(spark, f"{t}_i", reader=ReaderOptions(ignore_failures=True))
@@ -66,5 +77,34 @@ for fmt in sys.argv[2:]:
     if fmt == "avro":
         one = AvroFile(open_input(per[0][FILE]), ["id_col"])
         assert one.codec == "snappy" and len(one.counts) > 1, (one.codec, one.counts)
-    print(fmt, "fine", flush=True)
+    if fmt == "sequencefile":
+        one = SequenceFile(open_input(per[0][FILE]), *text_layout(data, "sequence"), ["id_col"])
+        assert one.blocked == (kind == "BLOCK") and (one.codec is None) == (kind == "NONE"), (one.codec, one.blocked)
+        assert sum(one.counts) == per[0]["n"], one.counts
+    print(told, "fine", flush=True)
+
+if "sequencefile" in sys.argv:  # text that is no value of its column reads as the scan reads it
+    odd = ["", "\\N", "7", "+7", "-7", "007", "7.9", "7.", ".5", " 7", "7x", "300", "40000", "3000000000", "-9223372036854775808", "9223372036854775808", "1e3", "NaN", "-Infinity", "inf", "1_0", ".", "-.5", "-", "7.x", "1.", "1e400", "0x1", "1f", "-2.5e1D", "1ff", "7 ", "1e-7", "1e4", "127.9", "-129", "TRUE", "False", "tru", "2020-02-29", "2020-2-3", "2021-13-01", "é"]
+    odd += ["12345.678905", "99999.999995", "a\x02b\x02\\N", "1\x022\x02x", "k\x03v\x02k\x03w\x02q\x02\\N\x03z", "1\x02a\x02b", "\x02"]
+    types = ["string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "decimal(10,5)", "array<string>", "array<int>", "map<string,string>", "struct<a:int,b:string>", "array<struct<a:string>>"]
+    spark.sql(f"CREATE TABLE raw ({', '.join(f'c{i} string' for i in range(len(types) - 1))}, n string) STORED AS SEQUENCEFILE")
+    spark.createDataFrame([(*[x] * (len(types) - 1), str(i)) for i, x in enumerate(odd)], ", ".join(f"c{i} string" for i in range(len(types) - 1)) + ", n string").coalesce(1).write.insertInto("raw")
+    at = spark.sql("DESCRIBE FORMATTED raw").where("col_name = 'Location'").first()[1]
+    wrong = []
+    for i, kind in enumerate(types):
+        cols = [f"c{j} {'string' if j != i else kind}" for j in range(len(types) - 1)]
+        if i == len(types) - 1:
+            cols[0] = f"c0 {kind}"
+        spark.sql(f"CREATE EXTERNAL TABLE odd_{i} ({', '.join(cols)}, n string, more int) STORED AS SEQUENCEFILE LOCATION '{at}'")
+        one = TableIndexer.table(spark, f"odd_{i}")
+        got = one.load_by_index(one.create_index_df(["n"]))
+        assert seeks(got)
+        at_n = [{r["n"]: str(r[f"c{0 if i == len(types) - 1 else i}"]) for r in x.collect()} for x in (got, one.data)]
+        wrong += [(kind, x, at_n[0][str(j)], at_n[1][str(j)]) for j, x in enumerate(odd) if at_n[0][str(j)] != at_n[1][str(j)]]
+    assert not wrong, wrong
+    spark.sql("CREATE TABLE timed (a int, t timestamp) STORED AS SEQUENCEFILE")
+    spark.sql("INSERT INTO timed VALUES (1, timestamp'2020-01-01 00:00:00'), (2, null)")
+    one = TableIndexer.table(spark, "timed")
+    assert not seeks(one.load_by_index(one.create_index_df(["a"]))) and seeks(one.load_by_index(one.create_index_df(["a"]), ["a"]))
+    print("odd text fine", flush=True)
 spark.stop()

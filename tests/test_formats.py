@@ -12,10 +12,13 @@ import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from waymark import TableIndexer
 from waymark.sources import indexer
+from waymark.sources import sequence as seq
 from waymark.sources.avro import AvroError, AvroFile
+from waymark.sources.sequence import BYTES, TEXT, SequenceError, SequenceFile, separators
 from waymark.spec import FILE, OFFSET
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +26,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def test_hive_formats(tmp_path):
     env = os.environ | {"PYTHONPATH": ROOT}
-    got = subprocess.run([sys.executable, f"{ROOT}/tests/hive_job.py", str(tmp_path), "avro", "sequencefile", "textfile", "orc"], env=env, capture_output=True, text=True, timeout=600, check=False)
+    got = subprocess.run([sys.executable, f"{ROOT}/tests/hive_job.py", str(tmp_path), "avro", "sequencefile", "sequencefile/NONE", "sequencefile/BLOCK/Snappy", "sequencefile/BLOCK/Gzip", "textfile", "orc"], env=env, capture_output=True, text=True, timeout=600, check=False)
     assert got.returncode == 0, got.stderr[-3000:]
 
 
@@ -111,3 +114,55 @@ def test_avro_limits():
     with pytest.raises(AvroError):
         opened(container("long", []), ["a"])
     assert opened(container(SCHEMA, []), ["k"]).counts == []
+
+
+# -- SequenceFiles by hand ------------------------------------------------------------------------
+
+
+def text(b):
+    assert len(b) < 128
+    return bytes([len(b)]) if len(b) <= 112 else b"\x8f" + bytes([len(b)])
+
+
+def sequence(rows, value=TEXT, sync=b"s" * 16, every=2):
+    """Records without compression, with a mark after every two."""
+    names = b"".join(text(n.encode()) + n.encode() for n in (BYTES, value))
+    out = b"SEQ\x06" + names + b"\0\0" + struct.pack(">i", 1) + text(b"k") + b"k" + text(b"v") + b"v" + sync
+    for i, r in enumerate(rows):
+        body = b"\0" * 4 + (text(r) if value == TEXT else struct.pack(">i", len(r))) + r
+        out += struct.pack(">ii", len(body), 4) + body + (struct.pack(">i", -1) + sync if i % every == 1 else b"")
+    return out
+
+
+def sought(raw, columns, kinds="a int, b string, m map<string,array<int>>"):
+    return SequenceFile(pa.PythonFile(io.BytesIO(raw), mode="r"), StructType.fromDDL(kinds), separators({"serialization.format": "1"}), columns)
+
+
+@pytest.mark.parametrize("value", [TEXT, BYTES])
+def test_sequence_file(spark, monkeypatch, value):
+    monkeypatch.setattr(seq, "GROUP_ROWS", 2)
+    monkeypatch.setattr(seq, "AHEAD", 64)
+    raw = sequence([b"1\x01x\x01k\x031\x042", b"", b"\\N\x01" + b"y" * 100, b"4", b"5\x01z\x01\x01more"], value)
+    f = sought(raw, ["b", "A", "m"])
+    assert f.counts == [2, 2, 1]
+    assert [r for i in (2, 0, 1) for r in f.table(i).to_pylist()] == [
+        {"b": "z", "A": 5, "m": []}, {"b": "x", "A": 1, "m": [("k", [1, 2])]}, {"b": None, "A": None, "m": None}, {"b": "y" * 100, "A": None, "m": None}, {"b": None, "A": 4, "m": None},
+    ]
+    assert sought(sequence([], value), ["a"]).counts == []
+    for cut in (2, 30, len(raw) - 1, len(raw) - 3):
+        with pytest.raises(SequenceError):
+            sought(raw[:cut], ["a"])
+    bad = raw.replace(b"\xff\xff\xff\xff" + b"s" * 16, b"\xff\xff\xff\xff" + b"t" * 16)
+    with pytest.raises(SequenceError):
+        sought(bad, ["a"])
+
+
+def test_sequence_limits(spark):
+    with pytest.raises(SequenceError):
+        sought(sequence([b"1"], "org.apache.hadoop.io.LongWritable"), ["a"])
+    with pytest.raises(SequenceError):
+        sought(sequence([b"1"]), ["t"], "t timestamp")
+    assert separators({"escape.delim": "x"}) is None and separators({"field.delim": "ab"}) is None
+    assert separators({"field.delim": ",", "collection.delim": "58"})[:3] == [b",", b":", b"\x03"]
+    deep = "array<" * 9 + "int" + ">" * 9
+    assert seq.reader_of(StructType.fromDDL(f"a {deep}")[0].dataType, separators({})) is None

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, tee
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -219,11 +220,27 @@ class IndexManager:
         return TableIndexer(self.spark.table(self.spec.data_table), self.format, self.reader)
 
     def load_by_index(self, index: DataFrame, fields: list[str] | None = None) -> DataFrame:
-        """Payload columns of each row of ``index`` (any frame with its locator columns)."""
-        return self._indexer().load_by_index(index, self.payload_fields(fields))
+        """Payload columns of each row of ``index`` (any frame with its locator columns).
+
+        Partition columns are those of ``index``, where it has them: they stand in no file.
+        """
+        own = set(self.parts) & set(index.columns)
+        return self._indexer().load_by_index(index, [f for f in self.payload_fields(fields) if f not in own])
 
     def read_payload(self, row, fields: list[str] | None = None) -> dict:
-        return self._indexer().read_payload(row, self.payload_fields(fields))
+        return next(self._payloads([row], fields))
+
+    def _payloads(self, rows: Iterable, fields: list[str] | None) -> Iterator[dict]:
+        """Payloads of index rows in their order; the rows tell their own partitions, where they have those columns."""
+        rows = (r.asDict() if hasattr(r, "asDict") else dict(r) for r in rows)
+        first = next(rows, None)
+        if first is None:
+            return
+        own, asked = [p for p in self.parts if p in first], self.payload_fields(fields)
+        kept, sought = tee(chain([first], rows))
+        got = self._indexer().read_payloads(sought, [f for f in asked if f not in own], own)
+        for row, payload in zip(kept, got, strict=True):
+            yield {f: row[f] if f in own else payload[f] for f in asked}
 
     def _of_key(self, key, partition: dict | None) -> DataFrame:
         key = key if isinstance(key, dict) else dict(zip(self.spec.keys, key if isinstance(key, list | tuple) else [key], strict=True))
@@ -239,7 +256,7 @@ class IndexManager:
     def fetch(self, key, partition: dict | None = None, fields: list[str] | None = None) -> dict | None:
         """One row of the key as a dict (that of the smallest locator), or None."""
         with settings(self.spark, LOOKUP_CONF):
-            found = self._of_key(key, partition).select(*LOCATOR).orderBy(*LOCATOR[:3]).take(1)
+            found = self._of_key(key, partition).select(*LOCATOR, *[f"`{p}`" for p in self.parts]).orderBy(*LOCATOR[:3]).take(1)
         return self.read_payload(found[0], fields) if found else None
 
     def fetch_all(self, key, partition: dict | None = None, fields: list[str] | None = None) -> Iterator[dict]:
@@ -248,11 +265,11 @@ class IndexManager:
         The driver never holds the locators of a key with more than ``AT_ONCE`` rows: they stream.
         """
         with settings(self.spark, LOOKUP_CONF):
-            every = self._of_key(key, partition).select(*LOCATOR).orderBy(*LOCATOR[:3])
+            every = self._of_key(key, partition).select(*LOCATOR, *[f"`{p}`" for p in self.parts]).orderBy(*LOCATOR[:3])
             found = every.take(AT_ONCE + 1)
             if len(found) > AT_ONCE:
                 found = every.toLocalIterator()
-        yield from self._indexer().read_payloads(found, self.payload_fields(fields))
+        yield from self._payloads(found, fields)
 
     def join_with_index(self, probe: DataFrame, match: str = "first") -> DataFrame:
         if self.parts:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
+from waymark.functions.buckets import partition_predicate
 from waymark.plans.chunks import chunked
 from waymark.sources.files import arrow_reaches, normal_path, open_input
+from waymark.sources.sequence import SERDE, reader_of, separators
 from waymark.spec import FILE, LOCATOR, OFFSET, SUB_OFFSET, ReaderOptions
 
 
@@ -68,12 +70,12 @@ def reporter_of(x) -> Reporter:
 
 
 class _Seeker:
-    """One open file: row groups (Parquet), stripes (ORC) or blocks (Avro) by cumulated row counts, columns pruned.
+    """One open file: row groups (Parquet), stripes (ORC) or blocks (Avro, SequenceFile) by cumulated row counts, columns pruned.
 
     The last group stays decoded, so that requests in order decode each group once, however they come in batches.
     """
 
-    def __init__(self, uri: str, fmt: str, columns: list[str]):
+    def __init__(self, uri: str, fmt: str, columns: list[str], layout: tuple | None = None):
         self.uri, self.columns, self.fmt = uri, columns, fmt
         self.handle = open_input(uri)
         try:
@@ -88,6 +90,11 @@ class _Seeker:
 
                 self.file = AvroFile(self.handle, columns)
                 counts, self._decode = self.file.counts, self.file.table
+            elif fmt == "sequence":
+                from waymark.sources.sequence import SequenceFile
+
+                self.file = SequenceFile(self.handle, *layout, columns)
+                counts, self._decode = self.file.counts, self.file.table
             else:
                 import pyarrow as pa
                 import pyarrow.orc as orc
@@ -130,7 +137,7 @@ class _Seeker:
         self.handle.close()
 
 
-def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str], ignore: bool, reporter, metrics: Metrics | None = None) -> callable:
+def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str], ignore: bool, reporter, metrics: Metrics | None = None, layout: tuple | None = None) -> callable:
     """The kernel: requests come sorted by file and offset; a task opens each file once and decodes each of its groups once."""
 
     def run(batches: Iterator) -> Iterator:
@@ -173,7 +180,7 @@ def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str],
                             continue
                         try:
                             told.open_file(names[a])
-                            seeker = _Seeker(names[a], fmt, payload)
+                            seeker = _Seeker(names[a], fmt, payload, layout)
                         except Exception:
                             if not ignore:
                                 raise
@@ -208,11 +215,44 @@ def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str],
     return run
 
 
-def _seekable(fmt: str, payload: StructType) -> bool:
-    """Whether rows of the format can be sought from Python. Avro's times depend on the SerDe's reading of them."""
+def _seekable(fmt: str, payload: StructType, data: DataFrame) -> bool:
+    """Whether rows of the format can be sought from Python. Times in Avro and text depend on the SerDe's reading of
+    them, and partition columns stand in no file."""
+    if set(payload.names) & _partition_columns(data):
+        return False
+    if fmt == "sequence":
+        layout = text_layout(data, fmt)
+        return layout is not None and all(reader_of(f.dataType, layout[1]) for f in payload)
     return fmt in ("parquet", "orc") or (fmt == "avro" and "timestamp" not in payload.simpleString())
 
 
+def _tables(df: DataFrame) -> list:
+    """Scans of Hive's tables in the analysed plan."""
+    plan = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [plan.apply(i) for i in range(plan.size()) if plan.apply(i).getClass().getSimpleName() == "HiveTableRelation"]
+
+
+def _partition_columns(data: DataFrame) -> set[str]:
+    kinds = [leaf.relation().partitionSchema() for leaf in _leaves(data)] + [t.tableMeta().partitionSchema() for t in _tables(data)]
+    return {n for k in kinds for n in k.fieldNames()}
+
+
+def text_layout(data: DataFrame, fmt: str) -> tuple[StructType, list[bytes]] | None:
+    """Columns in their order in a row's text, and its separators, of a table of SequenceFiles that Hive's simple
+    SerDe reads; None for other SerDes, or where the table asks it for more than separators."""
+    tables = _tables(data) if fmt == "sequence" else []
+    if len(tables) != 1:
+        return None
+    meta = tables[0].tableMeta()
+    serde, props = meta.storage().serde(), meta.storage().properties()
+    keys = props.keys().toSeq()
+    seps = separators({keys.apply(i): props.apply(keys.apply(i)) for i in range(keys.size())})
+    if serde.isEmpty() or serde.get() != SERDE or seps is None:
+        return None
+    own = set(meta.dataSchema().fieldNames())
+    return StructType([f for f in data.schema if f.name in own]), seps
+
+
 def _root(data: DataFrame) -> str | None:
     """A root folder or file of a plain scan, without listing what is in it."""
     for leaf in _leaves(data):
@@ -262,8 +302,8 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     schema = StructType([index.schema[c] for c in kept] + list(payload))
     strategy = options.strategy
     if strategy == "auto":
-        strategy = "seek" if _seekable(fmt, payload) and _reached(data) else "scan"
-    if strategy == "scan" or not _seekable(fmt, payload):
+        strategy = "seek" if _seekable(fmt, payload, data) and _reached(data) else "scan"
+    if strategy == "scan" or not _seekable(fmt, payload, data):
         return _scan_join(index, kept, names, fmt, data, options)
     options = replace(options, rows_per_task=options.rows_per_task or range_rows(data))
     need = index.select(*[f"`{c}`" for c in kept], *LOCATOR)
@@ -271,7 +311,7 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
         need = chunked(need, options)
     else:
         need = need.repartition(F.col(FILE), F.floor(F.col(OFFSET) / options.rows_per_task)).sortWithinPartitions(FILE, OFFSET, SUB_OFFSET)
-    return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter, options.metrics), schema)
+    return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter, options.metrics, text_layout(data, fmt)), schema)
 
 
 def _scan_join(index: DataFrame, kept: list[str], names: list[str], fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
@@ -290,25 +330,30 @@ def read_one(spark: SparkSession, locator, payload: StructType, fmt: str, data:
     return next(read_many(spark, [locator], payload, fmt, data))
 
 
-def read_many(spark: SparkSession, locators: Iterable, payload: StructType, fmt: str, data: DataFrame) -> Iterator[dict]:
-    """Payloads as dicts, in the order of the locators; neighbours of one file share an open file and its decoded group."""
+def read_many(spark: SparkSession, locators: Iterable, payload: StructType, fmt: str, data: DataFrame, parts: Iterable[str] = ()) -> Iterator[dict]:
+    """Payloads as dicts, in the order of the locators; neighbours of one file share an open file and its decoded group.
+
+    Where a scan has to find the row, it reads the locator's partition alone, by the values of ``parts`` beside it.
+    """
     names, seeker = payload.fieldNames(), None
+    layout, seeks = text_layout(data, fmt), _seekable(fmt, payload, data)
     maps = {n for n in names if isinstance(payload[n].dataType, MapType)}
     try:
         for locator in locators:
             at = locator.asDict() if hasattr(locator, "asDict") else dict(locator)
-            if _seekable(fmt, payload) and arrow_reaches(at[FILE]):
+            if seeks and arrow_reaches(at[FILE]):
                 import numpy as np
 
                 if seeker is None or seeker.uri != at[FILE]:
                     if seeker is not None:
                         seeker.close()
-                    seeker = _Seeker(at[FILE], fmt, names)
+                    seeker = _Seeker(at[FILE], fmt, names, layout)
                 row = next(seeker.rows(np.array([at[OFFSET]], "int64"))).to_pylist()[0]
                 yield {n: dict(row[n]) if n in maps and row[n] is not None else row[n] for n in names}
             else:
                 one = spark.createDataFrame([(at[FILE], at[OFFSET], 0, -1)], ", ".join(f"{n} {t}" for n, t in zip(LOCATOR, ("string", "bigint", "int", "int"), strict=True)))
-                yield _scan_join(one, [], names, fmt, data, ReaderOptions()).take(1)[0].asDict()
+                near = data.where(partition_predicate([{p: at[p] for p in parts}], data.schema)) if parts else data
+                yield _scan_join(one, [], names, fmt, near, ReaderOptions()).take(1)[0].asDict()
     finally:
         if seeker is not None:
             seeker.close()

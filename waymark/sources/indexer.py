@@ -114,6 +114,6 @@ class TableIndexer:
         """The payload of one locator, read on the driver."""
         return read_one(self.spark, locator, self.payload_schema(fields), self.fmt, self.data)
 
-    def read_payloads(self, locators, fields: list[str] | None = None):
+    def read_payloads(self, locators, fields: list[str] | None = None, parts: list[str] = ()):
         """Payloads of many locators in their order, read on the driver; neighbours of one file share what is open."""
-        return read_many(self.spark, locators, self.payload_schema(fields), self.fmt, self.data)
+        return read_many(self.spark, locators, self.payload_schema(fields), self.fmt, self.data, parts)
