@@ -398,3 +398,19 @@ def test_stream(spark, tmp_path):
     index_stream(spark, src, schema, ["id"], out, cp).awaitTermination()
     got = read_stream_index(spark, out)
     assert got.count() == 15 and rows(TableIndexer.parquet(spark, src).load_by_index(got, ["v"])) == rows(spark.read.parquet(src))
+
+
+def test_hot_locator(spark, sf):
+    """A row that is asked for over and over is read by several tasks."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "16k")
+    try:
+        seen = Metrics(spark)
+        one = TableIndexer.parquet(spark, f"{sf}/orders.parquet", options=ReaderOptions(metrics=seen))
+        index = one.create_index_df(["o_orderkey"])
+        asked = spark.range(0, 200_000, 1, 8).withColumnRenamed("id", "n").crossJoin(F.broadcast(index.where("o_orderkey = 7")))
+        got = one.load_by_index(asked, ["o_totalprice"]).groupBy("o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("n").alias("n")).collect()
+        assert [(r["rows"], r["n"]) for r in got] == [(200_000, 200_000)]
+        assert seen.values()["files"] > 1
+    finally:
+        spark.conf.unset(key)

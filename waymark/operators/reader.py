@@ -283,6 +283,7 @@ def _reached(data: DataFrame) -> bool:
 #: Rows of a file that one task serves: of large data, so many that a row group is seldom decoded by several tasks;
 #: of data that are less than TASK_BYTES a core, so few that all cores have a part.
 LARGE_RANGE, SMALL_RANGE, TASK_BYTES = 1 << 20, 1 << 17, 128 << 20
+RANGE = "__range"
 
 
 def range_rows(data: DataFrame) -> int:
@@ -295,7 +296,8 @@ def range_rows(data: DataFrame) -> int:
 def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
     """One row for each request; columns of ``index`` without locators and payload names, then the payload.
 
-    Requests are dealt by file and row range, so a large file's requests are shared by many tasks.
+    Requests are dealt by file and row range, so a large file's requests are shared by many tasks; adaptive
+    execution gives a range that is asked for over and over to several.
     """
     names = payload.fieldNames()
     kept = [c for c in index.columns if c not in names and c not in LOCATOR]
@@ -310,7 +312,7 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     if options.chunks:
         need = chunked(need, options)
     else:
-        need = need.repartition(F.col(FILE), F.floor(F.col(OFFSET) / options.rows_per_task)).sortWithinPartitions(FILE, OFFSET, SUB_OFFSET)
+        need = need.withColumn(RANGE, F.floor(F.col(OFFSET) / options.rows_per_task)).hint("rebalance", F.col(FILE), F.col(RANGE)).drop(RANGE).sortWithinPartitions(FILE, OFFSET, SUB_OFFSET)
     return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter, options.metrics, text_layout(data, fmt)), schema)
 
 
