@@ -17,7 +17,7 @@ base = sys.argv[1]
 spark = (
     SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", f"{base}/w").config("spark.checkpoint.dir", f"{base}/c")
     .config("spark.sql.session.timeZone", "UTC").config("spark.hadoop.javax.jdo.option.ConnectionURL", f"jdbc:derby:;databaseName={base}/m;create=true").config("spark.hadoop.hive.exec.dynamic.partition.mode", "nonstrict")
-    .config("spark.hadoop.hive.exec.compress.output", "true").config("spark.hadoop.avro.output.codec", "snappy").config("spark.driver.extraJavaOptions", f"-Dderby.system.home={base}").enableHiveSupport().getOrCreate()
+    .config("spark.hadoop.hive.exec.compress.output", "true").config("spark.hadoop.avro.output.codec", "snappy").config("spark.driver.extraJavaOptions", f"-Duser.timezone=UTC -Dderby.system.home={base}").enableHiveSupport().getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")
 N = 6000
@@ -77,6 +77,21 @@ for i, told in enumerate(sys.argv[2:]):
     if fmt == "avro":
         one = AvroFile(open_input(per[0][FILE]), ["id_col"])
         assert one.codec == "snappy" and len(one.counts) > 1, (one.codec, one.counts)
+    if fmt == "avro":
+        days = ["2020-01-01 00:00:00.123", "1900-01-01 00:00:00", "1582-10-15 00:00:00", "1582-10-04 23:59:59.999", "1500-03-01 12:00:00", "1500-02-28 01:02:03", "1000-01-01 00:00:00", "0004-02-29 10:00:00", "0001-01-01 00:00:00", "9999-12-31 23:59:59"]
+        spark.sql("CREATE TABLE times (a int, t timestamp, more array<timestamp>) STORED AS AVRO")
+        spark.createDataFrame([*enumerate(days), (-1, None)], "a int, s string").coalesce(1).selectExpr("a", "cast(s as timestamp)", "array(cast(s as timestamp), null)").write.insertInto("times")
+        one = TableIndexer.table(spark, "times")
+        index = one.create_index_df(["a"])
+        got = one.load_by_index(index)
+        assert seeks(got)
+        a, b = ({r["a"]: (r["s"], r["m"]) for r in x.selectExpr("a", "cast(t as string) s", "cast(more as string) m").collect()} for x in (got, one.data))
+        assert a == b, (a, b)
+        first = index.where("a = 0").first()
+        assert one.read_payload(first) == one.data.where("a = 0").first().asDict()
+        spark._jvm.java.util.TimeZone.setDefault(spark._jvm.java.util.TimeZone.getTimeZone("Europe/Oslo"))
+        assert not seeks(one.load_by_index(index)) and seeks(one.load_by_index(index, ["a"]))
+        spark._jvm.java.util.TimeZone.setDefault(spark._jvm.java.util.TimeZone.getTimeZone("UTC"))
     if fmt == "sequencefile":
         one = SequenceFile(open_input(per[0][FILE]), *text_layout(data, "sequence"), ["id_col"])
         assert one.blocked == (kind == "BLOCK") and (one.codec is None) == (kind == "NONE"), (one.codec, one.blocked)

@@ -6,6 +6,7 @@ import importlib
 import time
 from collections.abc import Iterable, Iterator
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,15 +216,22 @@ def _seek(fmt: str, out_schema: StructType, kept: list[str], payload: list[str],
     return run
 
 
+#: Names of the zone without offset or changes.
+UTC = ("UTC", "Etc/UTC", "GMT", "Z", "Universal", "Zulu")
+
+
 def _seekable(fmt: str, payload: StructType, data: DataFrame) -> bool:
-    """Whether rows of the format can be sought from Python. Times in Avro and text depend on the SerDe's reading of
-    them, and partition columns stand in no file."""
+    """Whether rows of the format can be sought from Python. Times in text, and in Avro outside UTC, depend on the
+    SerDe's reading of them, and partition columns stand in no file."""
     if set(payload.names) & _partition_columns(data):
         return False
     if fmt == "sequence":
         layout = text_layout(data, fmt)
         return layout is not None and all(reader_of(f.dataType, layout[1]) for f in payload)
-    return fmt in ("parquet", "orc") or (fmt == "avro" and "timestamp" not in payload.simpleString())
+    if fmt == "avro" and "timestamp" in payload.simpleString():
+        # the scan reads them by the JVM's zone, which the reader knows for UTC alone
+        return data.sparkSession._jvm.java.util.TimeZone.getDefault().getID() in UTC
+    return fmt in ("parquet", "orc", "avro")
 
 
 def _tables(df: DataFrame) -> list:
@@ -327,6 +335,15 @@ def _scan_join(index: DataFrame, kept: list[str], names: list[str], fmt: str, da
     return got.select(*[f"`{c}`" for c in kept], *[F.col(f"__p_{i}").alias(n) for i, n in enumerate(names)])
 
 
+def _as_rows_have_it(v):
+    """Instants as Spark's rows have them in Python: local, without a zone; in lists, maps and records too."""
+    if isinstance(v, datetime) and v.tzinfo is not None:
+        return v.astimezone().replace(tzinfo=None)
+    if isinstance(v, dict):
+        return {k: _as_rows_have_it(x) for k, x in v.items()}
+    return type(v)(map(_as_rows_have_it, v)) if isinstance(v, list | tuple) else v
+
+
 def read_one(spark: SparkSession, locator, payload: StructType, fmt: str, data: DataFrame) -> dict:
     """One locator's payload as a dict, on the driver, without executors where Arrow reaches the file."""
     return next(read_many(spark, [locator], payload, fmt, data))
@@ -350,7 +367,7 @@ def read_many(spark: SparkSession, locators: Iterable, payload: StructType, fmt:
                     if seeker is not None:
                         seeker.close()
                     seeker = _Seeker(at[FILE], fmt, names, layout)
-                row = next(seeker.rows(np.array([at[OFFSET]], "int64"))).to_pylist()[0]
+                row = _as_rows_have_it(next(seeker.rows(np.array([at[OFFSET]], "int64"))).to_pylist()[0])
                 yield {n: dict(row[n]) if n in maps and row[n] is not None else row[n] for n in names}
             else:
                 one = spark.createDataFrame([(at[FILE], at[OFFSET], 0, -1)], ", ".join(f"{n} {t}" for n, t in zip(LOCATOR, ("string", "bigint", "int", "int"), strict=True)))

@@ -16,6 +16,8 @@ from decimal import Decimal
 MAGIC, SYNC = b"Obj\x01", 16
 #: Bytes that hold a block's head: two numbers of at most ten bytes.
 HEAD = 20
+#: The change of calendars on 15 October 1582, and a day, in milliseconds.
+CHANGE_MS, DAY_MS = -12_219_292_800_000, 86_400_000
 #: Types without further structure, and Arrow's names of them.
 PLAIN = {"null": "null", "boolean": "bool", "int": "int32", "long": "int64", "float": "float", "double": "double", "bytes": "binary", "string": "string"}
 
@@ -24,6 +26,22 @@ class AvroError(ValueError):
     """What is wrong with a file, or beyond this reader."""
 
 
+def same_label(ms: int) -> int:
+    """An instant as the SerDe's scan has it, in UTC: before the calendar's change its date is read off the Julian
+    calendar, and that label taken for the proleptic Gregorian one."""
+    if ms >= CHANGE_MS:
+        return ms
+    days = ms // DAY_MS
+    n = days + 2440588 + 32082  # days since 1 March 4801 BC in the Julian calendar
+    year = (4 * n + 3) // 1461
+    left = n - 1461 * year // 4
+    month = (5 * left + 2) // 153
+    day, year = left - (153 * month + 2) // 5, year - 4800
+    # both calendars count years from March here, so a 29 February that the Gregorian one lacks is 1 March
+    gregorian = 365 * year + year // 4 - year // 100 + year // 400 + (153 * month + 2) // 5 + day - 719468
+    return ms + (gregorian - days) * DAY_MS
+
+
 class Cursor:
     """Bytes and a place in them."""
 
@@ -93,6 +111,8 @@ def _decoder(schema, names: dict) -> tuple[Callable, object]:
         return (lambda c: Decimal(int.from_bytes(raw(c), "big", signed=True)).scaleb(-scale)), pa.decimal128(schema["precision"], scale)
     if logical == "date" and kind == "int":
         return _plain("int"), pa.date32()
+    if logical == "timestamp-millis" and kind == "long":
+        return (lambda c: same_label(c.number())), pa.timestamp("ms", "UTC")
     if logical and logical.startswith(("time", "local-time")):
         raise AvroError(f"times are left to the scan: {logical}")
     if kind == "array":
