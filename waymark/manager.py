@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from waymark.functions.buckets import bucket_of, partition_predicate
 from waymark.operators.join import JOIN_CONF, LOOKUP_CONF, join_with_index, missing_partitions, settings
-from waymark.operators.layout import guard_decimals
+from waymark.operators.layout import guard_decimals, rebalanced
 from waymark.plans.chunks import bucket_count, sampled_size
 from waymark.sources.indexer import TableIndexer, resolve_format, with_row_sizes
 from waymark.spec import FILE, LOCATOR, LOCATOR_DDL, IndexSpec, ReaderOptions, WriterOptions
@@ -25,6 +25,8 @@ PROP_DATA, PROP_KEYS, PROP_MORE, PROP_BUCKETS, PROP_OPEN = "index.meta.dataTable
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Rows of one key that a lookup takes at once; a key with more is streamed.
 AT_ONCE = 10_000
+#: Shuffled MB that a task of an append has at least, where files are to be smaller.
+LEAST_TASK_MB = 16
 
 
 def _quoted(name: str) -> str:
@@ -178,7 +180,7 @@ class IndexManager:
     def append_new_partitions(self, specs: list[dict]) -> None:
         """Index the given partitions, replacing just those. One scan, one shuffle, no driver rows.
 
-        Rows are dealt by partition and bucket. Adaptive execution splits what is too large for one task, such
+        Rows are dealt by partition and bucket. Adaptive execution splits what is larger than a file is to be, such
         as a hot key's bucket, which then has several files, and gives one task several small buckets.
         """
         specs = [dict(s) for s in specs]
@@ -193,7 +195,7 @@ class IndexManager:
         rows = self.index_rows(data)
         # the table's own order is the writer's to sort by
         rows = rows.withColumn("__bucket", bucket_of(list(self.spec.keys), self.num_buckets))
-        rows = rows.hint("rebalance", *[F.col(f"`{p}`") for p in self.parts], F.col("__bucket")).drop("__bucket")
+        rows = rebalanced(rows, [*[F.col(f"`{p}`") for p in self.parts], F.col("__bucket")], max(self.writer.target_file_mb, LEAST_TASK_MB) << 20).drop("__bucket")
         with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             rows.write.insertInto(_quoted(self.spec.index_table), overwrite=True)
 

@@ -32,6 +32,18 @@ def co_partition(df: DataFrame, keys: list[str], specs: list[tuple[dict, int]])
     return dealt.repartitionById(total, "__task").drop("__task").sortWithinPartitions(*parts, *keys)
 
 
+def rebalanced(df: DataFrame, by: list[Column], most: int) -> DataFrame:
+    """Rows dealt by ``by``, in tasks that adaptive execution keeps at about ``most`` shuffled bytes, whatever the session's own size.
+
+    Spark's hint takes no size; its plan does, which then goes with the frame, as frames are planned when they run.
+    """
+    spark, hinted = df.sparkSession, df.hint("rebalance", *by)
+    jvm, plan = spark._jvm, hinted._jdf.queryExecution().analyzed()
+    size = jvm.scala.jdk.javaapi.OptionConverters.toScala(jvm.java.util.stream.LongStream.range(most, most + 1).boxed().findFirst())
+    sized = jvm.org.apache.spark.sql.catalyst.plans.logical.RebalancePartitions(plan.partitionExpressions(), plan.child(), plan.optNumPartitions(), size)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
+
+
 def guard_decimals(df: DataFrame, cast: bool) -> DataFrame:
     """Decimals as doubles where asked for; else they stay decimals, which Parquet and hashes take."""
     if not cast:
