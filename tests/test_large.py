@@ -4,8 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from waymark import IndexManager
+from waymark import IndexManager, ReaderOptions, TableIndexer
+from waymark.operators import reader
 from waymark.operators.layout import rebalanced
+from waymark.operators.reader import Metrics
 from waymark.queries import QUERIES
 
 
@@ -41,3 +43,13 @@ def test_sized_rebalance(spark):
     finally:
         spark.conf.unset(key)
     assert len(m.get_index().inputFiles()) == 2 and m.get_index().count() == 200_000
+
+
+def test_tasks_of_requests(spark, sf, monkeypatch):
+    """A task's requests are bounded by the reader, where the session's own size would let one task have them all."""
+    monkeypatch.setattr(reader, "MOST_SHUFFLED", 16 << 10)
+    seen = Metrics(spark)
+    one = TableIndexer.parquet(spark, f"{sf}/orders.parquet", options=ReaderOptions(metrics=seen))
+    asked = spark.range(0, 200_000, 1, 8).withColumnRenamed("id", "n").crossJoin(F.broadcast(one.create_index_df(["o_orderkey"]).where("o_orderkey = 7")))
+    got = one.load_by_index(asked, ["o_totalprice"]).groupBy("o_orderkey").agg(F.count("o_totalprice").alias("rows"), F.countDistinct("n").alias("n")).collect()
+    assert [(r["rows"], r["n"]) for r in got] == [(200_000, 200_000)] and seen.values()["files"] > 1

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
 from waymark.functions.buckets import partition_predicate
+from waymark.operators.layout import rebalanced
 from waymark.plans.chunks import chunked
 from waymark.sources.files import arrow_reaches, normal_path, open_input
 from waymark.sources.sequence import SERDE, reader_of, separators
-from waymark.spec import FILE, LOCATOR, OFFSET, SUB_OFFSET, ReaderOptions
+from waymark.spec import FILE, LOCATOR, OFFSET, SIZE, SUB_OFFSET, ReaderOptions
 
 
 class Reporter:
@@ -292,6 +293,8 @@ def _reached(data: DataFrame) -> bool:
 #: of data that are less than TASK_BYTES a core, so few that all cores have a part.
 LARGE_RANGE, SMALL_RANGE, TASK_BYTES = 1 << 20, 1 << 17, 128 << 20
 RANGE = "__range"
+#: Shuffled bytes of requests that a task sorts at most, about: sorted rows take some 20 times as much.
+MOST_SHUFFLED = 24 << 20
 
 
 def range_rows(data: DataFrame) -> int:
@@ -301,6 +304,11 @@ def range_rows(data: DataFrame) -> int:
     return SMALL_RANGE if small else LARGE_RANGE
 
 
+def task_bytes(spark: SparkSession) -> int:
+    """Shuffled bytes of requests for one task: ``MOST_SHUFFLED``, or the session's own size where that is less."""
+    return min(MOST_SHUFFLED, spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES()))
+
+
 def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame, options: ReaderOptions) -> DataFrame:
     """One row for each request; columns of ``index`` without locators and payload names, then the payload.
 
@@ -320,7 +328,9 @@ def load_rows(index: DataFrame, payload: StructType, fmt: str, data: DataFrame,
     if options.chunks:
         need = chunked(need, options)
     else:
-        need = need.withColumn(RANGE, F.floor(F.col(OFFSET) / options.rows_per_task)).hint("rebalance", F.col(FILE), F.col(RANGE)).drop(RANGE).sortWithinPartitions(FILE, OFFSET, SUB_OFFSET)
+        # the kernel takes the file and the row alone; what else a locator has would be sorted for nothing
+        need = need.drop(SUB_OFFSET, SIZE).withColumn(RANGE, F.floor(F.col(OFFSET) / options.rows_per_task))
+        need = rebalanced(need, [F.col(FILE), F.col(RANGE)], task_bytes(data.sparkSession)).drop(RANGE).sortWithinPartitions(FILE, OFFSET)
     return need.mapInArrow(_seek(fmt, schema, kept, names, options.ignore_failures, options.reporter, options.metrics, text_layout(data, fmt)), schema)
 
 
